@@ -1,0 +1,6 @@
+"""No streaming operators: the workload is batch over dated snapshots.
+
+Snapshot membership and "latest per key" live in ``operators.windows`` and are
+plain DataFrame expressions, so they can be applied to a streaming DataFrame by
+a caller, but nothing here keeps streaming state.
+"""
