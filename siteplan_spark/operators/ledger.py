@@ -129,10 +129,10 @@ def flag_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     The first row of each key is found by a partial aggregate and joined back, so a
     key that holds a large part of the table is never sorted in one task.
     """
-    first = df.groupBy(*keys).agg(
+    first = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
         F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("copies"))
-    cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(first[k]) for k in keys])
-    return (df.join(first, cond)
-            .select(*[df[c] for c in df.columns], "copies",
-                    (~F.struct(*[df[o] for o in order]).eqNullSafe(F.col("_first")))
-                    .alias("is_repeat")))
+    cond = reduce(lambda a, b: a & b,
+                  [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return df.join(first, cond).select(
+        *df.columns, "copies",
+        (~F.struct(*order).eqNullSafe(F.col("_first"))).alias("is_repeat"))

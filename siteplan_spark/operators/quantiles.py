@@ -17,10 +17,6 @@ ACCURACY = 10_000
 MARGIN = 5.0 / ACCURACY
 
 
-def _null_safe(left: DataFrame, right: DataFrame, by: Sequence[str]):
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in by])
-
-
 def group_quantile(df: DataFrame, by: Sequence[str], value: str, q: float = 0.5,
                    kind: str = "linear", name: str = "quantile") -> DataFrame:
     """Exact quantile per group: columns ``by``, ``n``, ``name``.
@@ -44,8 +40,10 @@ def group_quantile(df: DataFrame, by: Sequence[str], value: str, q: float = 0.5,
         "_frac": (pos - F.floor(pos)) if kind == "linear" else F.lit(0.0)}).drop("_b")
     distinct = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
     if by:
-        joined = distinct.join(stats, _null_safe(distinct, stats, by)).drop(
-            *[stats[c] for c in by])
+        keyed = stats.withColumnsRenamed({c: f"_g_{c}" for c in by})
+        joined = distinct.join(keyed, reduce(lambda a, b: a & b, [
+            F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by])).drop(
+            *[f"_g_{c}" for c in by])
     else:
         joined = distinct.join(F.broadcast(stats))  # one row
     # values below the bracket collapse to one row per group before any ordering

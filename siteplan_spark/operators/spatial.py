@@ -383,3 +383,76 @@ def cluster_points(df: DataFrame, id_col: str, lat: str = "lat", lon: str = "lon
         F.avg(F.when(F.col("has_geo"), F.col("_lon"))).alias("cluster_lon"),
         F.count(F.lit(1)).alias("cluster_size"))
     return full.select("id", "cluster", "has_geo").join(centre, ["cluster", "has_geo"])
+
+
+def cluster_diagnostics(members: DataFrame, cluster: str, lat: str, lon: str,
+                        network: str) -> DataFrame:
+    """(cluster, size, networks, diameter_m): the exact largest distance in each cluster.
+
+    Only extreme places can be a diameter's ends: a place can be one end only if the far
+    corner of its cluster's box is at least as far as the best diameter already found from
+    the axis extremes, so almost every place is dropped before any pair is formed.
+    """
+    body = members.groupBy(cluster).agg(
+        F.count(F.lit(1)).alias("size"), F.countDistinct(network).alias("networks"))
+    places = members.where(_valid(lat, lon)).groupBy(
+        cluster, F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    unit = places.selectExpr(cluster, "_lat", "_lon",
+                             *[f"{e} AS {c}" for c, e in _unit("_lat", "_lon").items()])
+    boxes = unit.groupBy(F.expr(f"{cluster} AS _k")).agg(*_extent("_", "_"), *[
+        F.expr(f"{fn}(struct(_x AS x, _y AS y, _z AS z), _{a}) AS _{fn}{a}")
+        for fn in ("min_by", "max_by") for a in "xyz"])
+    # a lower bound of the diameter from the six axis extremes
+    ends = [f"_{fn}{a}" for fn in ("min_by", "max_by") for a in "xyz"]
+    low = "greatest(0.0D, " + ", ".join(
+        f"pow({p}.x - {q}.x, 2) + pow({p}.y - {q}.y, 2) + pow({p}.z - {q}.z, 2)"
+        for i, p in enumerate(ends) for q in ends[i + 1:]) + ")"
+    boxes = boxes.selectExpr("_k", *[c for c in _BOX], f"{low} AS _best")
+    reach = " + ".join(f"pow(greatest(_hi{a} - _{a}, _{a} - _lo{a}), 2)" for a in "xyz")
+    ends_only = (unit.join(boxes, F.expr(f"{cluster} = _k"))
+                 .where(f"{reach} >= _best * (1.0D - 1e-9)")
+                 .selectExpr("_k", "_lat", "_lon"))
+    other = ends_only.selectExpr("_k AS _k2", "_lat AS _lat2", "_lon AS _lon2")
+    span = (ends_only.join(other, F.expr("_k = _k2"))
+            .groupBy("_k").agg(F.expr(
+                f"max({haversine_sql('_lat', '_lon', '_lat2', '_lon2')}) AS diameter_m")))
+    return (body.join(span, F.col(cluster) == F.col("_k"), "left").drop("_k")
+            .withColumn("diameter_m", F.coalesce("diameter_m", F.lit(0.0))))
+
+
+def diameter_bands(diagnostics: DataFrame, bands: Sequence[float] = (50.0, 100.0, 200.0),
+                   suspicious: float = 200.0) -> DataFrame:
+    """Counts of clusters, singletons and clusters wider than each band, in one row."""
+    multi = F.col("size") > 1
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
+    return diagnostics.agg(
+        F.count(F.lit(1)).alias("clusters"), n(F.col("size") == 1).alias("singletons"),
+        F.max("size").alias("max_size"),
+        *[n(multi & (F.col("diameter_m") > b)).alias(f"wider_than_{int(b)}") for b in bands],
+        n(multi & (F.col("diameter_m") > suspicious)).alias("suspicious"))
+
+
+def suspicious_clusters(diagnostics: DataFrame, cluster: str, limit: int = 25,
+                        wider_than: float = 200.0) -> DataFrame:
+    """The report's 25 widest clusters."""
+    return (diagnostics.where((F.col("size") > 1) & (F.col("diameter_m") > wider_than))
+            .orderBy(F.desc("diameter_m"), cluster).limit(limit))
+
+
+def compare_distance_methods(df: DataFrame, coarse: str, exact: str,
+                             threshold: float) -> DataFrame:
+    """Error of one distance against another, and how many rows change sides."""
+    from siteplan_spark.operators.quantiles import group_quantile
+    rows = df.select((F.col(coarse) - F.col(exact)).alias("_e"),
+                     (F.col(coarse) <= threshold).alias("_a"),
+                     (F.col(exact) <= threshold).alias("_b"))
+    body = rows.agg(
+        F.avg("_e").alias("mean_error"), F.max("_e").alias("max_error"),
+        F.sum(F.when(F.col("_a") != F.col("_b"), 1).otherwise(0)).alias("flips"),
+        F.coalesce(F.sum(F.when(F.col("_a") & F.col("_b"), 1).otherwise(0))
+                   / F.nullif(F.sum(F.when(F.col("_a") | F.col("_b"), 1).otherwise(0)),
+                              F.lit(0)), F.lit(1.0)).alias("selection_jaccard"))
+    half = group_quantile(rows, [], "_e", 0.5, "linear", "median_error").drop("n")
+    p99 = group_quantile(rows, [], "_e", 0.99, "linear", "p99_error").drop("n")
+    return body.join(F.broadcast(half)).join(F.broadcast(p99))
