@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteplan_spark.operators.quantiles import upper_median
+from siteplan_spark.session import cut_lineage
 
 
 def access_gap(df: DataFrame, distance: str, population: str, threshold: float,
@@ -17,6 +18,8 @@ def access_gap(df: DataFrame, distance: str, population: str, threshold: float,
     A distance of Infinity (no site at all) is beyond every threshold and is left out of
     the median.
     """
+    # a distance is expensive to compute and is read three times below
+    df = cut_lineage(df.select(*by, distance, population))
     beyond = F.col(distance) > threshold
     gap = df.groupBy(*by).agg(
         F.sum(population).alias("population_total"),

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from siteplan_spark.functions.geo import (
     EARTH_RADIUS_M, haversine_m, haversine_sql, is_valid_coordinate, segment_distance_sql)
+from siteplan_spark.operators.quantiles import group_quantile
 from siteplan_spark.session import cut_lineage
 
 BITS = 20          # finest level: 2**20 cells per axis, about 12 m
@@ -250,6 +251,9 @@ def distance_band_join(left: DataFrame, right: DataFrame, eps_m: float, lat: str
             .where(F.col(out) <= eps_m).drop("_rlat", "_rlon"))
 
 
+_DIAMETER_SPLITS = (8, 64, 512)  # parts per axis of a cluster's frame, per level
+
+
 # --- clustering ---------------------------------------------------------------------------
 
 def _fine(side: float, split: int) -> list[str]:
@@ -389,39 +393,64 @@ def cluster_diagnostics(members: DataFrame, cluster: str, lat: str, lon: str,
                         network: str) -> DataFrame:
     """(cluster, size, networks, diameter_m): the exact largest distance in each cluster.
 
-    Only extreme places can be a diameter's ends: a place can be one end only if the far
-    corner of its cluster's box is at least as far as the best diameter already found from
-    the axis extremes, so almost every place is dropped before any pair is formed.
+    Places are reduced to boxes inside their cluster. A pair of boxes survives a level
+    only if its far corners reach the best distance already certain, so the places that
+    are finally compared are the two opposite ends, not all pairs.
     """
     body = members.groupBy(cluster).agg(
         F.count(F.lit(1)).alias("size"), F.countDistinct(network).alias("networks"))
     places = members.where(_valid(lat, lon)).groupBy(
-        cluster, F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).agg(
+        F.col(cluster).alias("_k"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).agg(
         F.count(F.lit(1)).alias("_n"))
-    unit = places.selectExpr(cluster, "_lat", "_lon",
+    unit = places.selectExpr("_k", "_lat", "_lon",
                              *[f"{e} AS {c}" for c, e in _unit("_lat", "_lon").items()])
-    boxes = unit.groupBy(F.expr(f"{cluster} AS _k")).agg(*_extent("_", "_"), *[
-        F.expr(f"{fn}(struct(_x AS x, _y AS y, _z AS z), _{a}) AS _{fn}{a}")
-        for fn in ("min_by", "max_by") for a in "xyz"])
-    # a lower bound of the diameter from the six axis extremes
-    ends = [f"_{fn}{a}" for fn in ("min_by", "max_by") for a in "xyz"]
-    low = "greatest(0.0D, " + ", ".join(
-        f"pow({p}.x - {q}.x, 2) + pow({p}.y - {q}.y, 2) + pow({p}.z - {q}.z, 2)"
-        for i, p in enumerate(ends) for q in ends[i + 1:]) + ")"
-    boxes = boxes.selectExpr("_k", *[c for c in _BOX], f"{low} AS _best")
-    reach = " + ".join(f"pow(greatest(_hi{a} - _{a}, _{a} - _lo{a}), 2)" for a in "xyz")
-    ends_only = (unit.join(boxes, F.expr(f"{cluster} = _k"))
-                 .where(f"{reach} >= _best * (1.0D - 1e-9)")
-                 .selectExpr("_k", "_lat", "_lon"))
-    other = ends_only.selectExpr("_k AS _k2", "_lat AS _lat2", "_lon AS _lon2")
-    span = (ends_only.join(other, F.expr("_k = _k2"))
-            .groupBy("_k").agg(F.expr(
-                f"max({haversine_sql('_lat', '_lon', '_lat2', '_lon2')}) AS diameter_m")))
-    return (body.join(span, F.col(cluster) == F.col("_k"), "left").drop("_k")
+    frame = unit.groupBy("_k").agg(
+        *[F.expr(f"min(_{a}) AS _o{a}") for a in "xyz"],
+        F.expr("greatest(1e-12D, " + ", ".join(f"max(_{a}) - min(_{a})" for a in "xyz")
+               + ") AS _w"))
+    finest = _DIAMETER_SPLITS[-1]
+    keyed = cut_lineage(unit.join(frame, "_k").selectExpr(
+        "_k", "_lat", "_lon", "_x", "_y", "_z",
+        *[f"CAST(least({finest - 1}, floor((_{a} - _o{a}) / _w * {finest})) AS INT) AS c{a}"
+          for a in "xyz"]))
+    near, far = _bounds()
+    pairs = None
+    for i, split in enumerate(_DIAMETER_SPLITS):
+        down = finest // split
+        ids = [f"c{a} DIV {down} AS s{a}" for a in "xyz"]
+        boxes = keyed.selectExpr("_k AS node", "_x", "_y", "_z", *ids).groupBy(
+            "node", "sx", "sy", "sz").agg(*_extent("_", "_"), F.expr("0.0D AS _r"))
+        step = split // (_DIAMETER_SPLITS[i - 1] if i else split)
+        left, right = _renamed(boxes, "a"), _renamed(boxes, "b")
+        if pairs is None:
+            grown = left.join(right, F.expr("a = b")).withColumn("_twin", F.lit(True))
+        else:
+            ups = {n: " AND ".join(f"{n}s{x} DIV {step} = p{n}s{x}" for x in "xyz")
+                   for n in "ab"}
+            grown = pairs.join(left, F.expr(f"pk = a AND {ups['a']}")).join(
+                right, F.expr(f"pk = b AND {ups['b']}")).withColumn("_twin", F.expr(
+                    "pasx = pbsx AND pasy = pbsy AND pasz = pbsz"))
+        # children of one box meet twice; children of two boxes only once
+        scored = grown.where(
+            "NOT _twin OR struct(asx, asy, asz) <= struct(bsx, bsy, bsz)").selectExpr(
+            "a", *[f"{n}s{x}" for n in "ab" for x in "xyz"],
+            f"{near} AS _near", f"{far} AS _far")
+        best = scored.groupBy(F.expr("a AS bk")).agg(F.expr("max(_near) AS _best"))
+        pairs = (scored.join(best, F.expr("a = bk")).where("_far >= _best * (1.0D - 1e-9)")
+                 .selectExpr("a AS pk", *[f"{n}s{x} AS p{n}s{x}" for n in "ab" for x in "xyz"]))
+
+    def ends(n: str) -> DataFrame:
+        return keyed.selectExpr("_k AS pk", f"_lat AS {n}lat", f"_lon AS {n}lon",
+                                *[f"c{x} AS p{n}s{x}" for x in "xyz"])
+    span = (pairs.join(ends("a"), ["pk", "pasx", "pasy", "pasz"])
+            .join(ends("b"), ["pk", "pbsx", "pbsy", "pbsz"])
+            .groupBy("pk").agg(F.expr(
+                f"max({haversine_sql('alat', 'alon', 'blat', 'blon')}) AS diameter_m")))
+    return (body.join(span, F.col(cluster) == F.col("pk"), "left").drop("pk")
             .withColumn("diameter_m", F.coalesce("diameter_m", F.lit(0.0))))
 
 
-def diameter_bands(diagnostics: DataFrame, bands: Sequence[float] = (50.0, 100.0, 200.0),
+def diameter_bands(diagnostics: DataFrame, bands: Sequence[float] = (50.0, 100.0, 200.0, 500.0),
                    suspicious: float = 200.0) -> DataFrame:
     """Counts of clusters, singletons and clusters wider than each band, in one row."""
     multi = F.col("size") > 1
@@ -443,10 +472,10 @@ def suspicious_clusters(diagnostics: DataFrame, cluster: str, limit: int = 25,
 def compare_distance_methods(df: DataFrame, coarse: str, exact: str,
                              threshold: float) -> DataFrame:
     """Error of one distance against another, and how many rows change sides."""
-    from siteplan_spark.operators.quantiles import group_quantile
-    rows = df.select((F.col(coarse) - F.col(exact)).alias("_e"),
-                     (F.col(coarse) <= threshold).alias("_a"),
-                     (F.col(exact) <= threshold).alias("_b"))
+    # two distances per row are expensive and read several times below
+    rows = cut_lineage(df.select((F.col(coarse) - F.col(exact)).alias("_e"),
+                                 (F.col(coarse) <= threshold).alias("_a"),
+                                 (F.col(exact) <= threshold).alias("_b")))
     body = rows.agg(
         F.avg("_e").alias("mean_error"), F.max("_e").alias("max_error"),
         F.sum(F.when(F.col("_a") != F.col("_b"), 1).otherwise(0)).alias("flips"),

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("staging", "supply", "access")
+MODULES = ("staging", "supply", "access", "allocation")
 
 
 def load_all() -> None:
