@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteplan_spark.functions.geo import cell_of, is_valid_coordinate
 from siteplan_spark.operators.ledger import Rule, classify_first_match
 from siteplan_spark.operators.ranking import complexity_band
+from siteplan_spark.session import cut_lineage
 
 
 def _group_totals(df: DataFrame, group: Sequence[str], **aggs: Column) -> DataFrame:
@@ -116,8 +117,9 @@ def aggregate_with_provenance(df: DataFrame, weights: DataFrame, key: str, value
                               F.col(c).cast("string").alias("category")) for c in categories])
     flat = based.select("cell", "_b", F.inline(rows))
     per = flat.groupBy("cell", "dimension", "category").agg(F.sum("_b").alias("_w"))
-    shares = _group_totals(per, ["cell", "dimension"], _t=F.sum("_w")).select(
-        "cell", "dimension", "category", (F.col("_w") / F.col("_t")).alias("share"))
+    # a dimension has a handful of categories per cell
+    whole = F.sum("_w").over(Window.partitionBy("cell", "dimension"))
+    shares = per.select("cell", "dimension", "category", (F.col("_w") / whole).alias("share"))
     lost = df.join(edges.select(key).distinct(), key, "left_anti")
     return cells, shares, lost
 
@@ -134,16 +136,15 @@ def align_shares(observed: DataFrame, estimated: DataFrame, by: Sequence[str], c
         "estimated": F.coalesce("estimated", F.lit(0.0))})
 
 
-def share_errors(aligned: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Total variation distance and mean absolute share error per group."""
+def share_errors(aligned: DataFrame, by: Sequence[str], category: str) -> DataFrame:
+    """Per group: total variation distance, mean absolute share error, top category hit."""
     gap = F.abs(F.col("observed") - F.col("estimated"))
-    return aligned.groupBy(*by).agg((F.sum(gap) / 2.0).alias("tvd"), F.avg(gap).alias("mae"))
 
-
-def top_hits(aligned: DataFrame, by: Sequence[str], category: str) -> DataFrame:
     def best(c: str) -> Column:
         return F.min_by(category, F.struct((-F.col(c)).alias("w"), F.col(category).alias("k")))
-    return aligned.groupBy(*by).agg((best("observed") == best("estimated")).alias("hit"))
+    return aligned.groupBy(*by).agg(
+        (F.sum(gap) / 2.0).alias("tvd"), F.avg(gap).alias("mae"),
+        (best("observed") == best("estimated")).alias("hit"))
 
 
 def compare_allocation_methods(pairs: DataFrame, methods: DataFrame, source: str, target: str,
@@ -154,7 +155,8 @@ def compare_allocation_methods(pairs: DataFrame, methods: DataFrame, source: str
     weight)``. Weights are used exactly as supplied. Returns scores per (method, source),
     weighted summaries, win shares, strata by complexity and the area-level ledger.
     """
-    counts = pairs.groupBy(source, target).agg(F.count(F.lit(1)).alias("_n"))
+    # read by the ledger, the observed shares and the scores
+    counts = cut_lineage(pairs.groupBy(source, target).agg(F.count(F.lit(1)).alias("_n")))
     areas = counts.groupBy(source).agg(F.sum("_n").alias("records"),
                                        F.count(F.lit(1)).alias("targets"))
     names = methods.select("method").distinct()
@@ -180,22 +182,21 @@ def compare_allocation_methods(pairs: DataFrame, methods: DataFrame, source: str
         "method", source, target, F.col("weight").alias("share"))
     aligned = align_shares(observed_m, estimated, ["method", source], target, "share")
     by = ["method", source]
-    scores = (share_errors(aligned, by).join(top_hits(aligned, by, target), by)
-              .join(kept, source).withColumn("band", complexity_band("targets")))
+    scores = cut_lineage(share_errors(aligned, by, target).join(kept, source).withColumn(
+        "band", complexity_band("targets")))
     w = F.col("records")
     summary = scores.groupBy("method").agg(
         (F.sum(F.col("tvd") * w) / F.sum(w)).alias("weighted_mean_tvd"),
         F.avg("tvd").alias("unweighted_mean_tvd"),
         (F.sum(F.col("mae") * w) / F.sum(w)).alias("weighted_mean_mae"),
         F.avg(F.col("hit").cast("double")).alias("top_target_accuracy"))
-    best = scores.groupBy(source).agg(
-        F.min(F.struct("tvd", "method")).alias("_b"), F.min("tvd").alias("_t"))
-    ties = scores.join(best, source).groupBy(source).agg(
-        F.sum(F.when(F.col("tvd") == F.col("_t"), 1).otherwise(0)).alias("_ties"),
-        F.first("_b.method").alias("method"))
+    # strictly best only: the two lowest of a handful of methods per area
+    ranked = scores.groupBy(source).agg(
+        F.array_sort(F.collect_list(F.struct("tvd", "method"))).alias("_r"))
+    clear = ranked.where((F.size("_r") < 2) | (F.col("_r")[0]["tvd"] < F.try_element_at(
+        "_r", F.lit(2))["tvd"])).select(F.col("_r")[0]["method"].alias("method"))
     total = kept.agg(F.count(F.lit(1)).alias("_areas"))
-    wins = (ties.where(F.col("_ties") == 1).groupBy("method")
-            .agg(F.count(F.lit(1)).alias("_wins")))
+    wins = clear.groupBy("method").agg(F.count(F.lit(1)).alias("_wins"))
     win_share = (names.join(wins, "method", "left").join(F.broadcast(total))
                  .select("method", F.when(F.col("_areas") > 0, F.coalesce(
                      "_wins", F.lit(0)) / F.col("_areas")).otherwise(0.0).alias("win_share")))

@@ -71,44 +71,50 @@ def validate_constraints(totals: DataFrame, members: DataFrame, group: str,
 
 def ipf(df: DataFrame, value: str, constraints: Sequence[tuple[str, DataFrame]],
         total: str = "total", max_iter: int = 200, tol: float = TOLERANCE,
-        out: str = "reconciled", check_every: int = 5) -> tuple[DataFrame, int, float]:
+        out: str = "reconciled") -> tuple[DataFrame, int, float]:
     """Raking over overlapping constraints: (rows, rounds, worst residual).
 
-    Each dimension is one aggregate-and-join; the state is checkpointed every few rounds
-    and the only value that reaches the driver is the worst residual.
+    Raking only ever multiplies whole groups, so the rows stay untouched: the rounds run
+    on the cross-classified sums and update one small multiplier table per dimension,
+    checkpointed each time. Only the worst residual reaches the driver.
     """
-    totals = [(g, cut_lineage(t.select(g, F.col(total).cast("double").alias("_t"))))
-              for g, t in constraints]
-
-    def factors(rows: DataFrame, g: str, t: DataFrame) -> DataFrame:
-        sums = rows.groupBy(g).agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_n"))
-        return sums.join(t, g)
-
+    dims = [g for g, _ in constraints]
+    totals = {g: cut_lineage(t.select(g, F.col(total).cast("double").alias("_t")))
+              for g, t in constraints}
     rows = df.withColumn("_v", F.col(value).cast("double"))
-    for g, t in totals:  # a group that starts at zero is seeded flat
-        seed = factors(rows, g, t).where("_s <= 0 AND _t > 0").select(
+    for g in dims:  # a group that starts at zero is seeded flat
+        seed = rows.groupBy(g).agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_n")).join(
+            totals[g], g).where("_s <= 0 AND _t > 0").select(
             g, (F.col("_t") / F.col("_n")).alias("_seed"))
         rows = rows.join(seed, g, "left").withColumn("_v", F.coalesce("_seed", "_v")).drop(
             "_seed")
-
-    def worst(current: DataFrame) -> float:
-        parts = [current.groupBy(g).agg(F.sum("_v").alias("_s")).join(t, g).agg(
-            F.max(F.abs(F.col("_s") - F.col("_t"))).alias("r")) for g, t in totals]
-        return reduce(DataFrame.unionByName, parts).agg(F.max("r")).first()[0] or 0.0
-
     rows = cut_lineage(rows)
-    rounds, residual = 0, worst(rows)
+    cells = cut_lineage(rows.groupBy(*dims).agg(F.sum("_v").alias("_v")))
+    factor = {g: totals[g].select(g, F.lit(1.0).alias(f"_k_{g}")) for g in dims}
+
+    def scaled(base: DataFrame) -> DataFrame:
+        for g in dims:
+            base = base.join(factor[g], g, "left").withColumn(
+                "_v", F.col("_v") * F.coalesce(f"_k_{g}", F.lit(1.0))).drop(f"_k_{g}")
+        return base
+
+    def worst() -> float:
+        now = scaled(cells)
+        parts = [now.groupBy(g).agg(F.sum("_v").alias("_s")).join(totals[g], g).agg(
+            F.max(F.abs(F.col("_s") - F.col("_t"))).alias("r")) for g in dims]
+        return float(reduce(DataFrame.unionByName, parts).agg(F.max("r")).first()[0] or 0.0)
+
+    rounds, residual = 0, worst()
     while rounds < max_iter and residual > tol:
-        for _ in range(min(check_every, max_iter - rounds)):
-            for g, t in totals:
-                k = factors(rows, g, t).select(g, F.when(
-                    F.col("_s") > 0, F.col("_t") / F.col("_s")).otherwise(1.0).alias("_k"))
-                rows = rows.join(k, g, "left").withColumn(
-                    "_v", F.col("_v") * F.coalesce("_k", F.lit(1.0))).drop("_k")
-            rounds += 1
-        rows = cut_lineage(rows)
-        residual = worst(rows)
-    return rows.withColumnRenamed("_v", out), rounds, float(residual)
+        for g in dims:
+            got = scaled(cells).groupBy(g).agg(F.sum("_v").alias("_s"))
+            factor[g] = cut_lineage(
+                totals[g].join(got, g).join(factor[g], g).select(g, (
+                    F.col(f"_k_{g}") * F.when(F.col("_s") > 0, F.col("_t") / F.col("_s"))
+                    .otherwise(1.0)).alias(f"_k_{g}")))
+        rounds += 1
+        residual = worst()
+    return scaled(rows).withColumnRenamed("_v", out), rounds, residual
 
 
 # --- which total is authoritative -------------------------------------------------------

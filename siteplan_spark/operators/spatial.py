@@ -435,8 +435,9 @@ def cluster_diagnostics(members: DataFrame, cluster: str, lat: str, lon: str,
             "NOT _twin OR struct(asx, asy, asz) <= struct(bsx, bsy, bsz)").selectExpr(
             "a", *[f"{n}s{x}" for n in "ab" for x in "xyz"],
             f"{near} AS _near", f"{far} AS _far")
-        best = scored.groupBy(F.expr("a AS bk")).agg(F.expr("max(_near) AS _best"))
-        pairs = (scored.join(best, F.expr("a = bk")).where("_far >= _best * (1.0D - 1e-9)")
+        # a cluster holds a bounded number of box pairs, whatever its size
+        pairs = (scored.selectExpr("*", "max(_near) OVER (PARTITION BY a) AS _best")
+                 .where("_far >= _best * (1.0D - 1e-9)")
                  .selectExpr("a AS pk", *[f"{n}s{x} AS p{n}s{x}" for n in "ab" for x in "xyz"]))
 
     def ends(n: str) -> DataFrame:

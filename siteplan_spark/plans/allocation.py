@@ -566,9 +566,9 @@ def _vintages(spark: SparkSession, d: str) -> DataFrame:
 
 @query("nearest_vintage_join", f"""
 WITH {_VINT},
-o AS (SELECT o_orderkey, o_custkey % 5 AS k, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS at FROM orders),
+o AS (SELECT o_orderkey, o_custkey % 5 AS k, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS seen_on FROM orders),
 j AS (SELECT o_orderkey, day, val, row_number() OVER (PARTITION BY o_orderkey
-  ORDER BY coalesce(abs(date_diff('day', at, day)), 0), day DESC) AS rn FROM o JOIN vt USING (k))
+  ORDER BY coalesce(abs(date_diff('day', seen_on, day)), 0), day DESC) AS rn FROM o JOIN vt USING (k))
 SELECT o_orderkey, day AS matched_vintage, CAST(val AS BIGINT) AS matched_value FROM j WHERE rn = 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     o = read_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate").select(
