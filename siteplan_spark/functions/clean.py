@@ -164,7 +164,8 @@ def binned_mean(counts: Sequence[str | Column], midpoints: Sequence[float],
 
 def log_density(population: str | Column, area_km2: str | Column) -> Column:
     area = col(area_km2)
-    return F.when(area > 0, F.log(F.greatest(col(population), F.lit(0.0)) / area + 1.0))
+    # greatest() skips nulls, so a missing population is guarded explicitly
+    return F.when((area > 0) & col(population).isNotNull(), F.log(F.greatest(col(population), F.lit(0.0)) / area + 1.0))
 
 
 def share_of_population(rate: str | Column, population: str | Column) -> Column:
@@ -181,9 +182,10 @@ def movement(value: str | Column, raw: str | Column) -> Column:
 
 
 def relative_interval_width(half: str | Column, estimate: str | Column) -> Column:
-    h = col(half)
-    width = h / (h + F.greatest(col(estimate), F.lit(1.0)))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), width))
+    h, e = col(half), col(estimate)
+    width = h / (h + F.greatest(e, F.lit(1.0)))
+    return F.when(h.isNotNull() & e.isNotNull(),
+                  F.greatest(F.lit(0.0), F.least(F.lit(1.0), width)))
 
 
 def ports_per_1k(ports: str | Column, demand: str | Column) -> Column:

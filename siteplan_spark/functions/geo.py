@@ -26,7 +26,8 @@ def haversine_a(lat1, lon1, lat2, lon2) -> Column:
     s1 = F.sin(F.radians(a2 - a1) / 2.0)
     s2 = F.sin(F.radians(o2 - o1) / 2.0)
     a = s1 * s1 + F.cos(F.radians(a1)) * F.cos(F.radians(a2)) * s2 * s2
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))
+    # null coordinates give null, not zero: greatest() and least() skip nulls
+    return F.when(a > 1.0, 1.0).when(a < 0.0, 0.0).otherwise(a)
 
 
 def haversine_m(lat1, lon1, lat2, lon2) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from siteplan_spark.operators.quantiles import upper_median
 from siteplan_spark.operators.reconcile import proportional_scale
+from siteplan_spark.session import cut_lineage
 
 RAW, RECONCILED = "raw", "reconciled"
 
@@ -47,27 +49,32 @@ class Estimator:
     """A candidate: a fresh fit per call, a name, and a complexity rank for ties.
 
     ``fit(rows, features, rate, exposure)`` returns a function that adds ``rate_hat``.
+    ``held_out(df, group, features, count, exposure)``, where the model has mergeable
+    sufficient statistics, predicts every group without itself in one pass.
     """
 
     name: str
     rank: int
     fit: Callable[[DataFrame, Sequence[str], str, str], Callable[[DataFrame], DataFrame]]
+    held_out: Callable[[DataFrame, str, Sequence[str], str, str], DataFrame] | None = None
 
 
 class _Scaler:
     """Training means and population deviations: 2k scalars on the driver."""
 
-    def __init__(self, rows: DataFrame, features: Sequence[str]) -> None:
+    def __init__(self, rows: DataFrame, features: Sequence[str], *extra) -> None:
         got = rows.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)],
-                       *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)]).first()
+                       *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)],
+                       *extra).first()
+        self.extra = got
         self.parts = [(f, got[f"m{i}"] or 0.0, got[f"s{i}"] or 1.0)
                       for i, f in enumerate(features)]
         self.assembler = VectorAssembler(
             inputCols=[f"_z{i}" for i in range(len(features))], outputCol="_x")
 
     def apply(self, df: DataFrame) -> DataFrame:
-        scaled = df.withColumns({f"_z{i}": (F.col(f) - F.lit(m)) / F.lit(s or 1.0)
-                                 for i, (f, m, s) in enumerate(self.parts)})
+        scaled = df.selectExpr("*", *[f"(`{f}` - {float(m)!r}D) / {float(s)!r}D AS _z{i}"
+                                      for i, (f, m, s) in enumerate(self.parts)])
         return self.assembler.transform(scaled).drop(*[f"_z{i}" for i in range(len(self.parts))])
 
 
@@ -78,19 +85,71 @@ def _finish(df: DataFrame, rate) -> DataFrame:
 def ridge_log_rate(alpha: float = 1.0) -> Estimator:
     """Weighted ridge on log1p(rate); the normal equations are one pass over the rows."""
     def fit(rows, features, rate, exposure):
-        scaler = _Scaler(rows, features)
-        train = scaler.apply(rows).withColumn("_y", F.log1p(rate))
+        rows = rows.withColumn("_y", F.log1p(rate))
+        scaler = _Scaler(rows, features, F.sum(exposure).alias("w"),
+                         F.sum(F.col(exposure) * F.col("_y")).alias("wy"),
+                         F.sum(F.col(exposure) * F.col("_y") * F.col("_y")).alias("wyy"))
+        s = scaler.extra
         # Spark scales the penalty by the weighted label deviation and the weight sum
-        s = train.agg(F.sum(exposure).alias("w"),
-                      F.sum(F.col(exposure) * F.col("_y")).alias("wy"),
-                      F.sum(F.col(exposure) * F.col("_y") * F.col("_y")).alias("wyy")).first()
         sd = max(s["wyy"] / s["w"] - (s["wy"] / s["w"]) ** 2, 0.0) ** 0.5
         model = LinearRegression(featuresCol="_x", labelCol="_y", weightCol=exposure,
                                  predictionCol="_p", solver="normal", elasticNetParam=0.0,
                                  regParam=alpha * sd / s["w"] if sd else 0.0,
-                                 standardization=False).fit(train)
+                                 standardization=False).fit(scaler.apply(rows))
         return lambda df: _finish(model.transform(scaler.apply(df)), F.expm1("_p"))
-    return Estimator("ridge_log_rate", 1, fit)
+
+    def held_out(df, group, features, count, exposure):
+        return _ridge_held_out(df, group, features, count, exposure, alpha)
+    return Estimator("ridge_log_rate", 1, fit, held_out)
+
+
+#: Held-out groups whose moments may be solved on the driver.
+FOLD_LIMIT = 10_000
+
+
+def _ridge_held_out(df: DataFrame, group: str, features: Sequence[str], count: str,
+                    exposure: str, alpha: float) -> DataFrame:
+    """Every group predicted by the ridge fitted without it, from one aggregation.
+
+    The fit needs only sums of products, and the sums without a group are the total minus
+    the group's own. Per group a k x k system is solved from its k-squared scalars.
+    """
+    k = len(features)
+    y, w = f"ln(1.0D + `{count}` / `{exposure}`)", f"`{exposure}`"
+    x = [f"CAST(`{f}` AS DOUBLE)" for f in features]
+    sums = ["count(1) AS n", f"sum({w}) AS w", f"sum({w} * {y}) AS wy"]
+    for i in range(k):
+        sums += [f"sum({x[i]}) AS s{i}", f"sum({x[i]} * {x[i]}) AS q{i}",
+                 f"sum({w} * {x[i]}) AS wx{i}", f"sum({w} * {x[i]} * {y}) AS wxy{i}"]
+        sums += [f"sum({w} * {x[i]} * {x[j]}) AS wxx{i}_{j}" for j in range(i, k)]
+    train = df.where((F.col(exposure) >= 1) & F.col(count).isNotNull())
+    rows = train.groupBy(group).agg(*[F.expr(e) for e in sums]).limit(FOLD_LIMIT + 1).collect()
+    if len(rows) > FOLD_LIMIT:
+        raise ValueError(f"more than {FOLD_LIMIT} groups to hold out")
+    names = [e.rsplit(" AS ", 1)[1] for e in sums]
+    table = np.array([[float(r[c]) for c in names] for r in rows])
+    total = table.sum(axis=0)
+    fitted = []
+    for r, own in zip(rows, table, strict=True):
+        m = dict(zip(names, total - own, strict=True))
+        a = np.zeros((k, k))
+        wx = np.array([m[f"wx{i}"] for i in range(k)])
+        for i in range(k):
+            for j in range(i, k):
+                a[i, j] = a[j, i] = m[f"wxx{i}_{j}"] - wx[i] * wx[j] / m["w"]
+            mean = m[f"s{i}"] / m["n"]
+            var = max(m[f"q{i}"] / m["n"] - mean * mean, 0.0)
+            a[i, i] += alpha * (var if var > 0 else 1.0)
+        b = np.array([m[f"wxy{i}"] for i in range(k)]) - wx * m["wy"] / m["w"]
+        beta = np.linalg.solve(a, b)
+        fitted.append((r[group], float(m["wy"] / m["w"] - beta @ wx / m["w"]),
+                       [float(v) for v in beta]))
+    kind = df.schema[group].dataType.simpleString()
+    coef = df.sparkSession.createDataFrame(
+        fitted, f"`{group}` {kind}, _b0 double, _b array<double>")
+    line = " + ".join(["_b0", *[f"_b[{i}] * {x[i]}" for i in range(k)]])
+    return df.join(F.broadcast(coef), group).withColumn("predicted", F.expr(
+        f"greatest(0.0D, expm1({line})) * {w}")).drop("_b0", "_b")
 
 
 def poisson_rate(alpha: float = 1e-6, max_iter: int = 25) -> Estimator:
@@ -122,7 +181,10 @@ def baseline_rate(name: str = "exposure_share", rank: int = 0) -> Estimator:
                        F.sum(exposure).alias("e")).first()
         value = got["c"] / got["e"]
         return lambda df: df.withColumn("rate_hat", F.lit(float(value)))
-    return Estimator(name, rank, fit)
+
+    def held_out(df, group, features, count, exposure):
+        return baseline_held_out(df, group, count, exposure).drop("rate")
+    return Estimator(name, rank, fit, held_out)
 
 
 def fit_counts(estimator: Estimator, training: DataFrame, features: Sequence[str], count: str,
@@ -165,20 +227,26 @@ def leave_one_group_out(df: DataFrame, group: str, features: Sequence[str], coun
     """Scores per (estimator, held-out group, mode): every group predicted by a fit that
     never saw it, raw and reconciled to its published total.
 
-    The driver holds only the list of groups; every fit and every score is distributed.
-    Three groups or fewer is refused.
+    An estimator with mergeable statistics does all groups in one pass. Otherwise the
+    driver loops over the list of groups, and every fit and score is distributed; the
+    input is checkpointed because it is read once per fit. Three groups or fewer is
+    refused.
     """
+    df = cut_lineage(df)
     groups = [r[0] for r in df.select(group).distinct().orderBy(group).collect()]
     if len(groups) <= 3:
         raise ValueError(f"only {len(groups)} groups: too few to hold one out")
     parts = []
     for estimator in estimators:
-        held_out = []
-        for g in groups:
-            predict = fit_counts(estimator, df.where(F.col(group) != g), features, count,
-                                 exposure)
-            held_out.append(predict(df.where(F.col(group) == g)))
-        predicted = reduce(DataFrame.unionByName, held_out)
+        if estimator.held_out is not None:
+            predicted = estimator.held_out(df, group, features, count, exposure)
+        else:
+            held_out = []
+            for g in groups:
+                predict = fit_counts(estimator, df.where(F.col(group) != g), features, count,
+                                     exposure)
+                held_out.append(predict(df.where(F.col(group) == g)))
+            predicted = reduce(DataFrame.unionByName, held_out)
         modes = [predicted.withColumn("mode", F.lit(RAW))]
         if totals is not None:
             modes.append(proportional_scale(predicted, group, "predicted", totals)
@@ -236,6 +304,7 @@ def bootstrap_spread(df: DataFrame, targets: DataFrame, features: Sequence[str],
     """
     if replicates < 2:
         raise ValueError("a bootstrap needs at least two replicates")
+    df, targets = cut_lineage(df), cut_lineage(targets.select(id_col, *features, exposure))
     draws = []
     for r in range(replicates):
         sample = df.sample(withReplacement=True, fraction=1.0, seed=seed + r)
@@ -275,6 +344,7 @@ def historical_surface(fine: DataFrame, coarse_counts: DataFrame, group: str,
 def supply_ablation(df: DataFrame, group: str, features: Sequence[str], extra: Sequence[str],
                     count: str, exposure: str, estimator: Estimator) -> DataFrame:
     """Transfer and in-sample WAPE with and without the extra features."""
+    df = cut_lineage(df)
     rows = []
     for label, cols in (("without", list(features)), ("with", [*features, *extra])):
         transfer = weighted_wape(leave_one_group_out(df, group, cols, count, exposure,

@@ -19,7 +19,8 @@ STATE_ONLY = "state_total_only"
 
 
 def _clip(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Clipped to [0, 1]; a missing value stays missing (greatest/least skip nulls)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def combine_score(components: Sequence[str] = COMPONENTS,
@@ -115,6 +116,6 @@ def mahalanobis_percentile(training: DataFrame, targets: DataFrame, features: Se
         for j in range(k):
             terms.append(f"(`{features[i]}` - {row[f'm{i}']!r}D) * "
                          f"(`{features[j]}` - {row[f'm{j}']!r}D) * {float(inverse[i, j])!r}D")
-    distance = F.expr(f"sqrt(greatest(0.0D, {' + '.join(terms)}))")
-    scored = targets.withColumn("mahalanobis", distance)
+    scored = targets.withColumn("_q", F.expr(" + ".join(terms))).withColumn(
+        "mahalanobis", F.sqrt(F.when(F.col("_q") < 0, 0.0).otherwise(F.col("_q")))).drop("_q")
     return midrank_percentile(scored, "mahalanobis", id_col, name)

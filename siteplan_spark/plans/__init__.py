@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("staging", "supply", "access", "allocation")
+MODULES = ("staging", "supply", "access", "allocation", "modelling")
 
 
 def load_all() -> None:
