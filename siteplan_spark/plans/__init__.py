@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("staging", "supply", "access", "allocation", "modelling")
+MODULES = ("staging", "supply", "access", "allocation", "modelling", "siting", "checks")
 
 
 def load_all() -> None:
