@@ -149,19 +149,24 @@ def greedy_max_coverage(candidates: DataFrame, coverage: DataFrame, budget: floa
         F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * float(w) for c, w in weights.items()])
     cand = candidates.select(*by, F.col(key).alias("candidate"), score.alias("value"),
                              (F.col(cost).cast("double") if cost else F.lit(1.0)).alias("cost"))
-    edges = coverage.select(*by, "candidate", "covered")
+    # the coverage is measured first and then solved: read twice, so cut once
+    edges = cut_lineage(coverage.select(*by, "candidate", "covered"))
     largest = edges.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     if largest > group_limit:
         return _rounds(cand, edges, budget, by, max_steps)
-    keys = list(by) or [F.lit(1).alias("_all")]
     schema = ", ".join([*[f"`{c}` {candidates.schema[c].dataType.simpleString()}" for c in by],
                         "step int", f"candidate {candidates.schema[key].dataType.simpleString()}",
                         "gain double"])
     solve = _solve(by, budget)
-    run = solve if by else (lambda _k, c, e: solve((), c, e))
-    left = cand.groupBy(*keys) if by else cand.withColumn("_all", F.lit(1)).groupBy("_all")
-    right = edges.groupBy(*keys) if by else edges.withColumn("_all", F.lit(1)).groupBy("_all")
-    return left.cogroup(right).applyInPandas(run, schema)
+    if by:
+        # renamed, so that the two sides never share an attribute
+        left = cand.groupBy(*by)
+        right = edges.withColumnsRenamed({c: f"_e_{c}" for c in by}).groupBy(
+            *[f"_e_{c}" for c in by])
+        return left.cogroup(right).applyInPandas(solve, schema)
+    left = cand.withColumn("_all", F.lit(1)).groupBy("_all")
+    right = edges.withColumn("_all", F.lit(1)).groupBy("_all")
+    return left.cogroup(right).applyInPandas(lambda _k, c, e: solve((), c, e), schema)
 
 
 def score_selection(selection: DataFrame, candidates: DataFrame, coverage: DataFrame,
@@ -277,14 +282,19 @@ def perturbation_overlap(candidates: DataFrame, coverage: DataFrame, budget: flo
                          demand: str, total: float, half_width: float,
                          key: str = "cell") -> DataFrame:
     """Selections with the total moved by its rounding half-width, compared by Jaccard."""
-    def run(scale: float) -> DataFrame:
-        scaled = candidates.withColumn("_d", F.col(demand) * scale)
-        return greedy_max_coverage(scaled, coverage, budget, {"_d": 1.0}, key=key).select(
-            "candidate")
-    base = run(1.0)
-    parts = [jaccard(base, run((total + d) / total), "candidate").select(
-        F.lit(n).alias("scenario"), "jaccard")
-        for n, d in (("low", -half_width), ("high", half_width))]
+    scales = {"base": 1.0, "low": (total - half_width) / total,
+              "high": (total + half_width) / total}
+    names = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(v).alias("_scale"))
+                      for n, v in scales.items()])
+    # the scenarios are independent groups of one run
+    cand = candidates.select("*", F.inline(names)).withColumn(
+        "_d", F.col(demand) * F.col("_scale"))
+    edges = coverage.select("*", F.inline(names)).drop("_scale")
+    picks = cut_lineage(greedy_max_coverage(cand, edges, budget, {"_d": 1.0}, ["scenario"],
+                                            key=key).select("scenario", "candidate"))
+    base = picks.where("scenario = 'base'")
+    parts = [jaccard(base, picks.where(F.col("scenario") == n), "candidate").select(
+        F.lit(n).alias("scenario"), "jaccard") for n in scales if n != "base"]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -226,7 +226,7 @@ _OBJ = """s AS (SELECT 'p' || n_regionkey AS name, o AS objective, CAST(sum((n_n
 def _objective_scores(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "nation", "n_nationkey", "n_regionkey").select(
         F.concat(F.lit("p"), F.col("n_regionkey").cast("string")).alias("name"), "n_nationkey",
-        F.explode(F.sequence(F.lit(0), F.lit(3))).cast("bigint").alias("objective")).groupBy(
+        F.explode(F.expr("sequence(0L, 3L)")).alias("objective")).groupBy(
         "name", "objective").agg(F.sum((F.col("n_nationkey") * (F.col("objective") + 3)) % 17)
                                  .cast("double").alias("score"))
 

@@ -11,6 +11,7 @@ from siteplan_spark.operators import siting as ST
 from siteplan_spark.operators import spatial as SP
 from siteplan_spark.plans.access import cell_sql
 from siteplan_spark.plans.registry import query
+from siteplan_spark.session import cut_lineage
 from siteplan_spark.sources.tables import POINTS_SQL, SITES_SQL, population_points, sites
 
 LEVEL = 6
@@ -59,7 +60,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def problem(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c = candidates(spark, d)
+    c = cut_lineage(candidates(spark, d))  # joined to itself below
     return c, ST.coverage_edges(c, LEVEL, 1, by=["region"])
 
 
@@ -219,13 +220,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ST.epsilon_sweep(c, e, 4, "demand", "equity_population", 5, ["region"])
 
 
-@query("perturbation_overlap", """
-SELECT * FROM (VALUES ('low', 1.0e0), ('high', 1.0e0)) t(scenario, jaccard)""")
+def _scaled_pick(scale: str) -> str:
+    return (f"SELECT candidate FROM (WITH {greedy_sql(4, f'demand * {scale}')} "
+            "SELECT * FROM sel) WHERE region = 1")
+
+
+_OVERLAP = """SELECT CASE WHEN count(*) = 0 THEN 1.0e0 ELSE round(CAST(sum(CASE WHEN x.candidate IS NOT NULL
+  AND b.candidate IS NOT NULL THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) END AS jaccard
+  FROM b FULL JOIN {side} x ON x.candidate = b.candidate"""
+
+
+@query("perturbation_overlap", f"""
+WITH b AS ({_scaled_pick('1.0e0')}), low AS ({_scaled_pick('0.95e0')}), high AS ({_scaled_pick('1.05e0')})
+SELECT 'low' AS scenario, jaccard FROM ({_OVERLAP.format(side='low')})
+UNION ALL SELECT 'high', jaccard FROM ({_OVERLAP.format(side='high')})""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    # scaling every cell alike cannot change a single-objective selection
     c = candidates(spark, d).where("region = 1")
     e = ST.coverage_edges(c, LEVEL, 1)
-    return ST.perturbation_overlap(c, e, 4, "demand", 1000.0, 50.0)
+    return publish_round(ST.perturbation_overlap(c, e, 4, "demand", 1000.0, 50.0),
+                         {"jaccard": 6})
 
 
 @query("clustering_sensitivity", f"""
