@@ -14,12 +14,12 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], name: str = "rank"
     """1-based position in a total order, without sending the table to one task.
 
     Rows are range-partitioned on the whole sort key, so equal leading values are split
-    by the later keys; the ordered partitions are checkpointed once, and each row gets
+    by the later keys; the ordered partitions are written once, and each row gets
     its place in its partition plus the sizes of the partitions before it. ``order``
     must end in a unique column.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    parts = cut_lineage(df.sort(*cols)).withColumn("_p", F.spark_partition_id())
+    parts = cut_lineage(df.sort(*cols).withColumn("_p", F.spark_partition_id()))
     sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition, so an unpartitioned window is bounded
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))
@@ -37,7 +37,7 @@ def group_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
     group, and only the runs' sizes are added up.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    parts = cut_lineage(df.sort(*by, *cols)).withColumn("_p", F.spark_partition_id())
+    parts = cut_lineage(df.sort(*by, *cols).withColumn("_p", F.spark_partition_id()))
     runs = parts.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"))
     before = runs.withColumn("_before", F.sum("_n").over(
         Window.partitionBy(*by).orderBy("_p")) - F.col("_n")).drop("_n")
@@ -105,7 +105,7 @@ def percentile_below(df: DataFrame, by: Sequence[str], value: str,
 
 def group_running(counts: DataFrame, by: Sequence[str], value: str, n: str) -> DataFrame:
     """``_before`` (sum of n over smaller values) and ``_total`` per group."""
-    parts = cut_lineage(counts.sort(*by, value)).withColumn("_p", F.spark_partition_id())
+    parts = cut_lineage(counts.sort(*by, value).withColumn("_p", F.spark_partition_id()))
     runs = parts.groupBy(*by, "_p").agg(F.sum(n).alias("_s"))
     w = Window.partitionBy(*by)
     offsets = runs.withColumns({

@@ -337,12 +337,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame,
 
     Each round every node moves to its neighbour with the smallest hashed priority and
     the edges are rewritten and deduplicated, so the graph shrinks geometrically
-    whatever order the ids are in. A hub is handled by map-side minima. The state of
-    each round is checkpointed.
+    whatever order the ids are in. A hub is handled by map-side minima. The edges and
+    moves of each round are written to the checkpoint folder.
     """
     live = cut_lineage(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
                        .where("u <> v").distinct())
-    label = nodes.select("id", F.col("id").alias("component"))
+    moves: list[DataFrame] = []
     for _ in range(max_rounds):
         if live.isEmpty():
             break
@@ -351,9 +351,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame,
         move = (both.groupBy("u").agg(F.expr("min(struct(xxhash64(v) AS h, v AS v)) AS m"))
                 .selectExpr("u", "least(m, struct(xxhash64(u) AS h, u AS v)).v AS to"))
         move = cut_lineage(move)
-        label = cut_lineage(
-            label.join(move, label["component"] == move["u"], "left")
-            .select("id", F.coalesce("to", "component").alias("component")))
+        moves.append(move)
         m1 = move.select(F.col("u"), F.col("to").alias("nu"))
         m2 = move.select(F.col("u").alias("v"), F.col("to").alias("nv"))
         live = cut_lineage(
@@ -363,6 +361,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame,
     else:
         if not live.isEmpty():
             raise RuntimeError(f"components still open after {max_rounds} rounds")
+    # each round's moves are fewer than the last, so the labels follow them in one chain
+    label = nodes.select("id", F.col("id").alias("component"))
+    for move in moves:
+        label = label.join(move.withColumnRenamed("u", "component"), "component", "left").select(
+            "id", F.coalesce("to", "component").alias("component"))
+    label = cut_lineage(label)
     smallest = label.groupBy("component").agg(F.min("id").alias("_min"))
     return label.join(smallest, "component").select("id", F.col("_min").alias("component"))
 
