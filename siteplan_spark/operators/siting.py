@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -19,6 +20,9 @@ from siteplan_spark.session import cut_lineage
 #: A group is solved inside one task only when its rows are at most this many.
 GROUP_ROW_LIMIT = 200_000
 
+#: Gains equal to this many decimals are ties, so the order of a sum decides nothing.
+GAIN_DIGITS = 9
+
 # The objectives every portfolio is scored on.
 OBJECTIVES = ("population_served", "demand_covered", "equity_coverage",
               "accessibility_improvement", "estimated_utilisation", "cost_efficiency")
@@ -72,8 +76,8 @@ def _solve(by: Sequence[str], budget: float):
         reach = {c: sorted(g) for c, g in edges.groupby("candidate")["covered"]}
 
         def gain(c) -> float:
-            total = sum(value.get(x, 0.0) for x in reach.get(c, ()) if x not in covered)
-            return total / cost[c] if cost[c] > 0 else total
+            total = math.fsum(value.get(x, 0.0) for x in reach.get(c, ()) if x not in covered)
+            return round(total / cost[c] if cost[c] > 0 else total, GAIN_DIGITS)
 
         covered: set = set()
         heap = [(-gain(c), c) for c in value]
@@ -111,8 +115,9 @@ def _rounds(candidates: DataFrame, edges: DataFrame, budget: float, by: Sequence
     for step in range(1, max_steps + 1):
         gains = links.groupBy(*by, "candidate").agg(F.sum("value").alias("_g"))
         scored = open_cand.where(F.col("_spent") + F.col("cost") <= budget).join(
-            gains, [*by, "candidate"]).withColumn("gain", F.when(
-                F.col("cost") > 0, F.col("_g") / F.col("cost")).otherwise(F.col("_g"))).where(
+            gains, [*by, "candidate"]).withColumn("gain", F.round(F.when(
+                F.col("cost") > 0, F.col("_g") / F.col("cost")).otherwise(F.col("_g")),
+                GAIN_DIGITS)).where(
                 "gain > 0")
         pick = cut_lineage(scored.groupBy(*by).agg(F.min_by(
             F.struct("candidate", "gain", "cost"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siteplan_spark.functions.clean import is_zero_anomaly, valid_positive
 from siteplan_spark.operators.quantiles import group_median
+from siteplan_spark.session import cut_lineage
 
 REPORTED, EMPIRICAL, DEFAULT, UNRESOLVED = (
     "reported", "empirical_fallback", "type_default", "unresolved")
@@ -91,7 +92,8 @@ def resolve_ladder(df: DataFrame, value: str, hierarchy: Sequence[Sequence[str]]
 
     Every row keeps how it was resolved and how far to trust it.
     """
-    medians = empirical_medians(df, hierarchy, value, min_n)
+    # one row per peer group, joined once per level: computed once
+    medians = cut_lineage(empirical_medians(df, hierarchy, value, min_n))
     looked = fallback_lookup(df, medians, hierarchy)
     ref = defaults.select(*[F.col(k).alias(f"_d_{k}") for k in default_keys],
                           F.col(default_value).alias("_default"))

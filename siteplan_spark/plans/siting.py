@@ -69,7 +69,7 @@ def greedy_sql(steps: int, value: str = "demand", extra: str = "") -> str:
     parts = [f"{_CELLS}{extra}", "cov0 AS (SELECT region, cell AS covered FROM cand LIMIT 0)"]
     for i in range(1, steps + 1):
         parts.append(f"""pick{i} AS (SELECT region, arg_min(candidate, (-g, candidate)) AS candidate, max(g) AS gain FROM (
-  SELECT e.region, e.candidate, CAST(sum({value}) AS DOUBLE) AS g FROM edge e
+  SELECT e.region, e.candidate, round(CAST(sum({value}) AS DOUBLE), 9) AS g FROM edge e
   WHERE NOT EXISTS (SELECT 1 FROM cov{i - 1} c WHERE c.region = e.region AND c.covered = e.covered)
   GROUP BY 1, 2) GROUP BY 1)""")
         parts.append(f"""cov{i} AS (SELECT * FROM cov{i - 1} UNION SELECT e.region, e.covered FROM edge e
