@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteplan_spark.llm import simhash_links
+from siteplan_spark.llm import benchmark_edits, line_cleaning, simhash_links
 from siteplan_spark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,56 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"),
                         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+@query("op3_benchmark_edits")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = benchmark_edits.find_leaks(
+        read_table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text",
+        read_table(spark, folder, "benchmark"), "item_id", "text")
+    return found.withColumnRenamed("id", "doc_id")
+
+
+_OP6 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+cov AS (SELECT doc_id, sum(coalesce(least(8, nxt - i), 8)) AS n
+        FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM rep)
+        GROUP BY doc_id),
+lines AS (SELECT doc_id, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n
+          FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+judged AS (
+  SELECT *, 2 * len(regexp_extract_all(l, '[#*$%&|<>{}~^]')) >= n
+         OR n >= 3 AND 2 * len(regexp_extract_all(l, '[A-ZÀ-ÖØ-Þ]{2,}')) >= n
+         OR len(regexp_extract_all(l, '[|•·»]')) >= 3
+         OR n <= 20 AND regexp_matches(lower(l), 'all rights reserved|privacy policy|terms of (use|service)|cookie|javascript|click here|subscribe|log ?in|sign ?(in|up)|lorem ipsum')
+         OR NOT regexp_matches(l, '[.!?:;…"”’»)\]][\x20\x09-\x0D]*\z') AS bad
+  FROM lines WHERE n > 0),
+per AS (SELECT doc_id, count(*) - count(DISTINCT l) AS dup,
+               sum(CASE WHEN bad THEN n ELSE 0 END) AS lost
+        FROM judged GROUP BY doc_id),
+f AS (SELECT doc_id, t, len(w) AS n_words, coalesce(n, 0) AS n_rep, coalesce(dup, 0) AS dup,
+             coalesce(lost, 0) AS lost
+      FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN per USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words,
+       CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+       CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+       CAST(dup AS BIGINT) AS n_dup_lines, CAST(n_rep AS BIGINT) AS n_repeat_words,
+       n_words < 20 OR 100 * n_rep > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_rep > 30 * n_words) AND 100 * lost <= 60 * n_words AS kept,
+       CAST(lost AS BIGINT) AS n_lost
+FROM f"""
+
+
+@query("op6_line_cleaning", _OP6)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents", "doc_id", "text")
+    found = line_cleaning.measure_lines(docs, "text")
+    names = ("n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept "
+             "n_lost").split()
+    return found.select("doc_id", *[F.col(f"line_cleaning.{n}") for n in names])
