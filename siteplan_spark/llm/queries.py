@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteplan_spark.llm import benchmark_edits, line_cleaning, simhash_links
+from siteplan_spark.llm import benchmark_edits, line_cleaning, simhash_links, token_records
 from siteplan_spark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +84,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     names = ("n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept "
              "n_lost").split()
     return found.select("doc_id", *[F.col(f"line_cleaning.{n}") for n in names])
+
+
+@query("op8_token_records")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents", "doc_id", "text")
+    shards = token_records.write_token_records(
+        docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_records.read_in_order(shards).withColumnRenamed("key", "doc_id")
