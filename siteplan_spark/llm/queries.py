@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteplan_spark.llm import benchmark_edits, line_cleaning, simhash_links, token_records
+from siteplan_spark.llm import benchmark_edits, line_cleaning, simhash_links, soft_mixing, token_records
 from siteplan_spark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,18 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     shards = token_records.write_token_records(
         docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_records.read_in_order(shards).withColumnRenamed("key", "doc_id")
+
+
+#: Wanted shares of expected tokens.
+MIXTURE = {"clean": 0.96, "low": 0.01, "toxic": 0.03}
+
+
+@query("op1_soft_mixing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents", "doc_id", "text")
+    weights = soft_mixing.train(docs, "doc_id", "text", read_table(spark, folder, "labels"),
+                                "doc_id", "quality", "toxic")
+    found = soft_mixing.soft_mixing(docs, "doc_id", "text", weights, MIXTURE)
+    return found.select(F.col("id").alias("doc_id"), F.col("tokens").alias("n_tokens"),
+                        *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(soft_mixing.DOMAINS)],
+                        "rate", F.col("copies").alias("n_copies"))
