@@ -153,19 +153,22 @@ def find_leaks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, it
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
+def _free_of(sent, rate: float, least: int):
+    @F.arrow_udf(BooleanType())
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        searcher = _Searcher(sent.value, rate, least)
+        for texts in batches:
+            yield pa.array([next(searcher.matches(t.as_py()), None) is None for t in texts],
+                           pa.bool_())
+
+    return clean
+
+
 def drop_leaks(docs: DataFrame, text_col: str, items: DataFrame, item_col: str, item_text: str,
                rate: float = ERROR_RATE, least: int = MIN_CHARS) -> DataFrame:
     """The rows of ``docs`` that contain no benchmark item."""
     context = docs.sparkSession.sparkContext
     for block in _blocks(items, item_col, item_text):
         sent = context.broadcast(block)
-
-        @F.arrow_udf(BooleanType())
-        def clean(batches: Iterator[pa.Array], sent=sent) -> Iterator[pa.Array]:
-            searcher = _Searcher(sent.value, rate, least)
-            for texts in batches:
-                yield pa.array([next(searcher.matches(t.as_py()), None) is None for t in texts],
-                               pa.bool_())
-
-        docs = docs.where(clean(F.col(text_col)))
+        docs = docs.where(_free_of(sent, rate, least)(F.col(text_col)))
     return docs

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteplan_spark.llm.common import where_once
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -96,7 +98,7 @@ def measure_lines(docs: DataFrame, text_col: str) -> DataFrame:
 
 def keep_clean_lines(docs: DataFrame, text_col: str, length_col: str) -> DataFrame:
     """The documents that are kept, with failed lines gone and their length counted anew."""
-    found = measure_lines(docs, text_col).where("line_cleaning.kept")
+    found = where_once(measure_lines(docs, text_col), F.col("line_cleaning.kept"))
     text = F.col("line_cleaning.cleaned")
     return found.withColumns({
         text_col: text, length_col: F.length(text).cast(docs.schema[length_col].dataType),

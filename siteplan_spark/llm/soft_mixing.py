@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from siteplan_spark.llm.common import cut_lineage, text_bytes
+from siteplan_spark.llm.common import cut_lineage, text_bytes, where_once
 
 DOMAINS = ("clean", "low", "toxic")
 #: Labelled documents for each domain that the classifier is fitted on, at most.
@@ -239,6 +239,6 @@ def take_mixture(docs: DataFrame, id_col: str, text_col: str, weights: np.ndarra
     members = cut_lineage(docs.select(member.alias("m")).select("m.tokens", "m.p"))
     residuals = fit_rates(members, shares, growth)
     copies = copies_of(rate_of(member["p"], residuals), F.col(id_col), F.xxhash64(F.col(text_col)))
-    taken = docs.withColumn("_copies", copies).where("_copies > 0")
+    taken = where_once(docs.withColumn("_copies", copies), F.col("_copies") > 0)
     return taken.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))
                             ).drop("_copies")
