@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteplan_spark.llm import benchmark_edits, line_cleaning, simhash_links, soft_mixing, token_records
+from siteplan_spark.llm import benchmark_edits, line_cleaning, simhash_links, soft_mixing, suffix_dedup, token_records
 from siteplan_spark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,13 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("tokens").alias("n_tokens"),
                         *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(soft_mixing.DOMAINS)],
                         "rate", F.col("copies").alias("n_copies"))
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents", "doc_id", "text")
+    found = suffix_dedup.remove_repeats(docs, "doc_id", "text")
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
