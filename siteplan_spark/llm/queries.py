@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteplan_spark.llm import benchmark_edits, line_cleaning, simhash_links, soft_mixing, suffix_dedup, token_records
+from siteplan_spark.llm import (
+    benchmark_edits,
+    credential_links,
+    line_cleaning,
+    simhash_links,
+    soft_mixing,
+    suffix_dedup,
+    token_records,
+    url_markov,
+)
 from siteplan_spark.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +126,97 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_bytes",
         (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_credential_links")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents", "doc_id", "text")
+    found = credential_links.scan_credentials(docs, "doc_id", "text")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select(F.col("id").alias("doc_id"), count("assign").alias("n_assign"),
+                        count("access").alias("n_access"), count("hex").alias("n_hex"),
+                        F.sha2(joined(base), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+             ("allow", "com/fr/"), ("block", "com/de/")]
+
+def _smoothed(label: str) -> str:
+    """SQL for (gram, p) of one label: Witten-Bell, from the empty context to three characters."""
+    p, joins = "1.0e0 / 40", ""
+    for k in range(4):
+        joins += f"""
+          LEFT JOIN ng n{k} ON n{k}.label = '{label}' AND n{k}.k = {k} AND n{k}.g = substr(gram, {4 - k})
+          LEFT JOIN ctx c{k} ON c{k}.label = '{label}' AND c{k}.k = {k} AND c{k}.c = substr(gram, {4 - k}, {k})"""
+        p = (f"(CASE WHEN c{k}.a IS NULL THEN {p} ELSE "
+             f"(coalesce(n{k}.n, 0.0e0) + c{k}.t * {p}) / (c{k}.a + c{k}.t) END)")
+    return f"SELECT gram, {p} AS p FROM (SELECT DISTINCT gram FROM grams) {joins}"
+
+
+_OP10 = rf"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3)
+                       ELSE '' END AS rest FROM pages),
+hp AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+              regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path
+       FROM (SELECT *, regexp_extract(rest, '^[^/?#]*') AS h FROM parts)),
+ruled AS (
+  SELECT *, CASE
+      WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+      WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule,
+    '^^^' || regexp_replace(regexp_replace(lower(regexp_replace(host, '[^.]*\z', '') || path), '[0-9]+', '0', 'g'),
+                            '[^a-z0./_%=+:,;-]', '~', 'g') || '$' AS folded
+  FROM hp),
+voted AS (
+  SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS v
+  FROM ruled),
+labelled AS (
+  SELECT *, coalesce(v, CASE WHEN regexp_matches(host, 'spam|pills|casino|viagra|porn|warez|adult|betting')
+                             THEN 'block' END) AS label,
+         substr(md5(folded), 1, 1) IN ('0', '1', '2') AS held
+  FROM voted),
+forms AS (SELECT folded, label, held, count(*) AS n FROM labelled GROUP BY ALL),
+grams AS (SELECT folded, substr(folded, i, 4) AS gram
+          FROM (SELECT folded, unnest(range(1, length(folded) - 2)) AS i
+                FROM (SELECT DISTINCT folded FROM forms))),
+ng AS (SELECT label, k, substr(gram, CAST(4 - k AS BIGINT)) AS g, CAST(sum(n) AS DOUBLE) AS n
+       FROM forms JOIN grams USING (folded), range(4) AS r(k)
+       WHERE label IS NOT NULL AND NOT held GROUP BY ALL),
+ctx AS (SELECT label, k, substr(g, 1, CAST(k AS BIGINT)) AS c, sum(n) AS a, CAST(count(*) AS DOUBLE) AS t
+        FROM ng GROUP BY ALL),
+ratios AS (SELECT gram, CAST(round((ln(x.p) - ln(y.p)) * 1000000) AS BIGINT) AS units
+           FROM ({_smoothed("allow")}) x JOIN ({_smoothed("block")}) y USING (gram)),
+scores AS (SELECT folded, CAST(floor(CAST(sum(units) AS DOUBLE) / (count(*) * 10000)) AS BIGINT) AS score
+           FROM grams JOIN ratios USING (gram) GROUP BY folded),
+per AS (SELECT least(score, 0) AS score, sum(CASE WHEN label = 'allow' THEN n ELSE 0 END) AS good,
+               sum(CASE WHEN label = 'block' THEN n ELSE 0 END) AS bad
+        FROM forms JOIN scores USING (folded) WHERE held AND label IS NOT NULL GROUP BY 1),
+lim AS (SELECT score FROM (
+          SELECT score, sum(good) OVER () AS g, sum(bad) OVER () AS b,
+                 coalesce(sum(good) OVER w, 0) AS bg, coalesce(sum(bad) OVER w, 0) AS bb
+          FROM per WINDOW w AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        WHERE g > 0 AND b > 0
+        ORDER BY (g - bg) * b + bb * g DESC, score LIMIT 1)
+SELECT page_id, host, path, rule, score,
+       coalesce(v, CASE WHEN coalesce(score >= (SELECT score FROM lim), true)
+                        THEN 'allow' ELSE 'block' END) AS verdict
+FROM labelled JOIN scores USING (folded)"""
+
+
+@query("op10_url_markov", _OP10)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read_table(spark, folder, "pages", "page_id", "url")
+    found = url_markov.filter_urls(pages, "page_id", "url", URL_RULES)
+    return found.withColumnRenamed("id", "page_id")
