@@ -185,7 +185,7 @@ voted AS (
 labelled AS (
   SELECT *, coalesce(v, CASE WHEN regexp_matches(host, 'spam|pills|casino|viagra|porn|warez|adult|betting')
                              THEN 'block' END) AS label,
-         substr(md5(folded), 1, 1) IN ('0', '1', '2') AS held
+         substr(md5(regexp_extract(folded, '^[^/]*')), 1, 1) IN ('0', '1', '2') AS held
   FROM voted),
 forms AS (SELECT folded, label, held, count(*) AS n FROM labelled GROUP BY ALL),
 grams AS (SELECT folded, substr(folded, i, 4) AS gram

@@ -23,7 +23,7 @@ SYMBOLS = 40
 #: Log ratios are kept in millionths and scores in hundredths, as whole numbers, so that
 #: sums do not depend on the order of rows.
 UNIT, STEP = 1_000_000, 10_000
-#: Folded URLs whose MD5 starts with one of these digits are held out to place the threshold.
+#: Folded hosts whose MD5 starts with one of these digits are held out to place the threshold.
 HELD_OUT = ("0", "1", "2")
 
 #: Words in a host name that mark a URL as rejected for training.
@@ -159,7 +159,8 @@ def filter_urls(pages: DataFrame, id_col: str, url_col: str, rules: Sequence[Rul
                               "folded": folded(F.col("host"), F.col("path"))})
             .withColumn("label", label).drop("url"))
     forms = rows.groupBy("folded", "label").agg(F.count(F.lit(1)).alias("n"))
-    held = F.md5(F.col("folded").cast("binary")).substr(1, 1).isin(*HELD_OUT)
+    site = F.regexp_extract("folded", r"^[^/]*", 0)
+    held = F.md5(site.cast("binary")).substr(1, 1).isin(*HELD_OUT)
     known = forms.where(F.col("label").isNotNull())
     scores = score_urls(forms.select("folded").distinct(), known.where(~held))
     limit = threshold(known.where(held).join(scores, "folded"))
