@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from siteplan_spark.llm import (
     benchmark_edits,
+    byte_cnn,
     credential_links,
+    license_classifier,
     line_cleaning,
     simhash_links,
     soft_mixing,
@@ -220,3 +222,25 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     pages = read_table(spark, folder, "pages", "page_id", "url")
     found = url_markov.filter_urls(pages, "page_id", "url", URL_RULES)
     return found.withColumnRenamed("id", "page_id")
+
+
+@query("op9_byte_cnn")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents", "doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0,
+                          F.lit(False))
+    network = byte_cnn.train_network(docs.where(~held_out & F.col("doc_id").isNotNull()),
+                                     "doc_id", "text", "lang")
+    found = byte_cnn.identify_languages(docs, "doc_id", "text", network)
+    return found.select(F.col("id").alias("doc_id"),
+                        F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0,
+                                   F.lit(False)).alias("held_out"),
+                        F.col("lang").alias("lang_pred"), "score")
+
+
+@query("op2_license_classifier")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents", "doc_id", "text")
+    model = license_classifier.train(docs, "doc_id", "text")
+    return license_classifier.scan_licences(docs, "doc_id", "text", model).withColumnRenamed(
+        "id", "doc_id")
