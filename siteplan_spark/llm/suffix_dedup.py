@@ -279,12 +279,15 @@ def _cut(parts: int):
 # --- suffix arrays ------------------------------------------------------------------------
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, rank) by prefix doubling from eight bytes, refining only open groups."""
+    """(suffix array, rank) by prefix doubling from seven bytes, refining only open groups.
+
+    A byte takes nine bits, so that the end of the text is smaller than any byte.
+    """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])
     word = np.zeros(n, np.uint64)
-    for i in range(8):
-        word = (word << np.uint64(8)) | padded[i:i + n]
+    for i in range(7):
+        word = (word << np.uint64(9)) | padded[i:i + n]
     sa = np.argsort(word, kind="stable")
     head = np.ones(n, bool)
     head[1:] = word[sa[1:]] != word[sa[:-1]]
@@ -292,7 +295,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rank = np.empty(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(head, slot, 0))
     single = head & np.append(head[1:], True)
-    slot, depth = slot[~single], 8
+    slot, depth = slot[~single], 7
     while len(slot):
         suffix = sa[slot]
         after = suffix + depth
