@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,10 @@ def access_gap(df: DataFrame, distance: str, population: str, threshold: float,
     finite = df.where(F.col(distance) < float("inf"))
     med = upper_median(finite, by, distance, "median_distance").drop("n")
     if by:
-        out = gap.join(med, list(by), "left")
+        med = med.withColumnsRenamed({c: f"_g_{c}" for c in by})
+        same = reduce(lambda a, b: a & b, [
+            F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by])
+        out = gap.join(med, same, "left").drop(*[f"_g_{c}" for c in by])
     else:
         out = gap.join(F.broadcast(med), how="left")
     return out.withColumn("median_distance",
@@ -56,10 +60,13 @@ def sensitivity_curve(df: DataFrame, distance: str, population: str, start: floa
             .agg(F.sum(population).alias("_pop"), F.count(F.lit(1)).alias("_pts")))
     per = hist.groupBy(*by).agg(F.collect_list(F.struct("_slot", "_pop", "_pts")).alias("_h"))
 
+    # a sum keeps its type: whole weights stay exact, fractional ones stay fractional
+    kinds = {"_pop": hist.schema["_pop"].dataType, "_pts": hist.schema["_pts"].dataType}
+
     def beyond(i: int, field: str) -> Column:
         return F.aggregate(
-            F.filter("_h", lambda h: h["_slot"] > i), F.lit(0).cast("bigint"),
-            lambda acc, h: acc + h[field].cast("bigint"))
+            F.filter("_h", lambda h: h["_slot"] > i), F.lit(0).cast(kinds[field]),
+            lambda acc, h: (acc + F.coalesce(h[field], F.lit(0))).cast(kinds[field]))
     rows = F.array(*[F.struct(F.lit(float(s)).alias("threshold"),
                               beyond(i, "_pop").alias("population_beyond"),
                               beyond(i, "_pts").alias("points_beyond"))
@@ -137,11 +144,12 @@ def rollup_to_parent(df: DataFrame, parent: str, additive: Sequence[str],
                                                         F.coalesce("labels", F.lit(0)))
 
 
-def bbox(df: DataFrame, lat: str, lon: str, pad: float = 0.0) -> DataFrame:
-    """Padded extent of the finite points; nulls when there are none."""
+def bbox(df: DataFrame, lat: str, lon: str, pad: float = 0.0,
+         by: Sequence[str] = ()) -> DataFrame:
+    """Padded extent of the finite points, per group; nulls when there are none at all."""
     ok = ~F.isnan(lat) & ~F.isnan(lon) & (F.abs(F.col(lat)) < float("inf")) \
         & (F.abs(F.col(lon)) < float("inf"))
-    return df.where(ok).agg(
+    return df.where(ok).groupBy(*by).agg(
         (F.min(lat) - pad).alias("south"), (F.max(lat) + pad).alias("north"),
         (F.min(lon) - pad).alias("west"), (F.max(lon) + pad).alias("east"))
 

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteplan_spark.session import cut_lineage
+
 INCLUDED = "included"
 
 
@@ -127,12 +129,15 @@ def flag_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     """Keep every row and say which ones repeat an earlier row.
 
     The first row of each key is found by a partial aggregate and joined back, so a
-    key that holds a large part of the table is never sorted in one task.
+    key that holds a large part of the table is never sorted in one task. Identical rows
+    are told apart by their place in a table that is written first, so exactly one row of
+    a key is not a repeat.
     """
-    first = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
-        F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("copies"))
+    rows = cut_lineage(df.withColumn("_place", F.monotonically_increasing_id()))
+    mark = F.struct(*order, "_place")
+    first = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
+        F.min(mark).alias("_first"), F.count(F.lit(1)).alias("copies"))
     cond = reduce(lambda a, b: a & b,
                   [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    return df.join(first, cond).select(
-        *df.columns, "copies",
-        (~F.struct(*order).eqNullSafe(F.col("_first"))).alias("is_repeat"))
+    return rows.join(first, cond).select(
+        *df.columns, "copies", (~mark.eqNullSafe(F.col("_first"))).alias("is_repeat"))

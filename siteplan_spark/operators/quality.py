@@ -90,7 +90,7 @@ def validate_table(df: DataFrame, rules: Constraints) -> DataFrame:
 
 
 def assert_valid(df: DataFrame, rules: Constraints) -> None:
-    faults = validate_table(df, rules).orderBy("rule").limit(50).collect()
+    faults = validate_table(df, rules).orderBy("rule").collect()
     if faults:
         raise ValueError("; ".join(f"{r['rule']} ({r['violations']})" for r in faults))
 
@@ -247,7 +247,7 @@ def registration_checks(counts: DataFrame, key: str, count: str, expected: DataF
 def assign_confidence(defects: str, flags: str) -> Column:
     """Low only on corroborated defects; review flags alone never lower it."""
     del flags  # carried for a reviewer, never a reason on its own
-    return F.when(F.col(defects) > 0, "low").otherwise("ok")
+    return F.when(F.col(defects) > 0, "low_confidence").otherwise("ok")
 
 
 def assert_no_leakage(vintages: DataFrame, cutoff: str, feature: str = "feature",

@@ -6,6 +6,7 @@ import heapq
 import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,8 +21,9 @@ from siteplan_spark.session import cut_lineage
 #: A group is solved inside one task only when its rows are at most this many.
 GROUP_ROW_LIMIT = 200_000
 
-#: Gains equal to this many decimals are ties, so the order of a sum decides nothing.
-GAIN_DIGITS = 9
+#: Gains equal in this many significant digits are ties, so the order of a sum decides nothing;
+#: their size does not matter.
+GAIN_DIGITS = 12
 
 # The objectives every portfolio is scored on.
 OBJECTIVES = ("population_served", "demand_covered", "equity_coverage",
@@ -77,7 +79,7 @@ def _solve(by: Sequence[str], budget: float):
 
         def gain(c) -> float:
             total = math.fsum(value.get(x, 0.0) for x in reach.get(c, ()) if x not in covered)
-            return round(total / cost[c] if cost[c] > 0 else total, GAIN_DIGITS)
+            return float(f"{total / cost[c] if cost[c] > 0 else total:.{GAIN_DIGITS - 1}e}")
 
         covered: set = set()
         heap = [(-gain(c), c) for c in value]
@@ -101,31 +103,31 @@ def _solve(by: Sequence[str], budget: float):
     return run
 
 
-def _rounds(candidates: DataFrame, edges: DataFrame, budget: float, by: Sequence[str],
-            max_steps: int) -> DataFrame:
+def _rounds(candidates: DataFrame, edges: DataFrame, budget: float,
+            by: Sequence[str]) -> DataFrame:
     """The same rule as distributed rounds: one argmax per group and round.
 
     Used when some group is too big for a task. The state (uncovered cells, chosen
-    candidates, money spent) stays in checkpointed tables.
+    candidates, money spent) stays in checkpointed tables. It ends when no group picks.
     """
     value = candidates.select(*by, F.col("candidate").alias("covered"), "value")
     links = cut_lineage(edges.join(value, [*by, "covered"]))
-    chosen = None
+    chosen = candidates.limit(0).select(
+        *by, F.lit(0).alias("step"), "candidate", F.lit(0.0).alias("gain"))
     open_cand = candidates.select(*by, "candidate", "cost").withColumn("_spent", F.lit(0.0))
-    for step in range(1, max_steps + 1):
+    for step in count(1):
         gains = links.groupBy(*by, "candidate").agg(F.sum("value").alias("_g"))
         scored = open_cand.where(F.col("_spent") + F.col("cost") <= budget).join(
-            gains, [*by, "candidate"]).withColumn("gain", F.round(F.when(
-                F.col("cost") > 0, F.col("_g") / F.col("cost")).otherwise(F.col("_g")),
-                GAIN_DIGITS)).where(
-                "gain > 0")
+            gains, [*by, "candidate"]).withColumn("gain", F.format_string(
+                f"%.{GAIN_DIGITS - 1}e", F.when(F.col("cost") > 0, F.col("_g") / F.col("cost"))
+                .otherwise(F.col("_g"))).cast("double")).where("gain > 0")
         pick = cut_lineage(scored.groupBy(*by).agg(F.min_by(
             F.struct("candidate", "gain", "cost"),
             F.struct((-F.col("gain")).alias("g"), F.col("candidate").alias("c"))).alias("_p"))
-            .select(*by, F.lit(step).alias("step"), "_p.*"))
+            .where("_p IS NOT NULL").select(*by, F.lit(step).alias("step"), "_p.*"))
         if pick.isEmpty():
             break
-        chosen = pick if chosen is None else chosen.unionByName(pick)
+        chosen = cut_lineage(chosen.unionByName(pick.select(chosen.columns)))
         done = links.join(pick.select(*by, "candidate"), [*by, "candidate"], "left_semi") \
             .select(*by, "covered").distinct()
         links = cut_lineage(links.join(done, [*by, "covered"], "left_anti"))
@@ -142,7 +144,7 @@ def _rounds(candidates: DataFrame, edges: DataFrame, budget: float, by: Sequence
 def greedy_max_coverage(candidates: DataFrame, coverage: DataFrame, budget: float,
                         weights: Mapping[str, float], by: Sequence[str] = (),
                         cost: str | None = None, group_limit: int = GROUP_ROW_LIMIT,
-                        max_steps: int = 1_000, key: str = "candidate") -> DataFrame:
+                        key: str = "candidate") -> DataFrame:
     """(by, step, candidate, gain): repeatedly the best marginal weighted gain per cost.
 
     Ties go to the smallest id; a candidate that no longer fits the budget is skipped;
@@ -156,9 +158,9 @@ def greedy_max_coverage(candidates: DataFrame, coverage: DataFrame, budget: floa
                              (F.col(cost).cast("double") if cost else F.lit(1.0)).alias("cost"))
     # the coverage is measured first and then solved: read twice, so cut once
     edges = cut_lineage(coverage.select(*by, "candidate", "covered"))
-    largest = edges.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest > group_limit:
-        return _rounds(cand, edges, budget, by, max_steps)
+    sizes = [t.groupBy(*by).count().agg(F.max("count")).first()[0] or 0 for t in (edges, cand)]
+    if max(sizes) > group_limit:
+        return _rounds(cand, edges, budget, by)
     schema = ", ".join([*[f"`{c}` {candidates.schema[c].dataType.simpleString()}" for c in by],
                         "step int", f"candidate {candidates.schema[key].dataType.simpleString()}",
                         "gain double"])

@@ -83,14 +83,17 @@ def quantile_threshold(df: DataFrame, score: str, grain: str, q: float = 0.75) -
 
 def assign_tier(score: str, grain: str, threshold: str | Column) -> Column:
     t = F.col(threshold) if isinstance(threshold, str) else threshold
-    return (F.when(F.col(grain) != STATE_ONLY, "A").when(F.col(score) >= t, "C")
-            .otherwise("B"))
+    missing = F.raise_error(F.lit("a state-total-only row has no score")).cast("string")
+    return (F.when(F.col(grain) != STATE_ONLY, "A").when(F.col(score).isNull(), missing)
+            .when(F.col(score) >= t, "C").otherwise("B"))
 
 
 def with_tiers(df: DataFrame, score: str, grain: str, q: float = 0.75) -> DataFrame:
-    """One threshold for the whole table, joined as a single row."""
-    t = quantile_threshold(df, score, grain, q).select("threshold")
-    return df.join(F.broadcast(t), how="left").withColumn(
+    """One threshold for the whole table; an error when no row can set it."""
+    found = quantile_threshold(df, score, grain, q).select("threshold").first()
+    if found is None or found["threshold"] is None:
+        raise ValueError("no state-total-only row with a score: there is no threshold")
+    return df.withColumn("threshold", F.lit(found["threshold"])).withColumn(
         "tier", assign_tier(score, grain, "threshold"))
 
 

@@ -352,10 +352,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 WITH {POINTS_SQL}
 SELECT region, round(min(lat) - 0.5e0, 4) AS south, round(max(lat) + 0.5e0, 4) AS north,
        round(min(lon) - 0.5e0, 4) AS west, round(max(lon) + 0.5e0, 4) AS east
-FROM points WHERE region = 1 GROUP BY 1""")
+FROM points GROUP BY 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    b = A.bbox(population_points(spark, d).where("region = 1"), "lat", "lon", 0.5)
-    return b.select(F.lit(1).alias("region"), *[F.round(c, 4).alias(c) for c in
+    b = A.bbox(population_points(spark, d), "lat", "lon", 0.5, ["region"])
+    return b.select("region", *[F.round(c, 4).alias(c) for c in
                                                ("south", "north", "west", "east")])
 
 

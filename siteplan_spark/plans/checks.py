@@ -100,7 +100,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("confidence_needs_defects", """
-SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'low' ELSE 'ok' END AS confidence FROM supplier""")
+SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'low_confidence' ELSE 'ok' END AS confidence FROM supplier""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = read_table(spark, d, "supplier", "s_suppkey").select(
         "s_suppkey", F.when(F.col("s_suppkey") % 5 == 0, 1).otherwise(0).alias("defects"),

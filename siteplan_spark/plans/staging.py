@@ -714,15 +714,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("duplicate_exact_rows", """
-WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate,
+WITH li AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 10 = 0),
+r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate,
   row_number() OVER (PARTITION BY l_orderkey, l_linenumber
     ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS rn,
-  count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS copies FROM lineitem)
+  count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS copies FROM li)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(copies AS BIGINT) AS copies,
        rn > 1 AS is_repeat FROM r""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey",
                       "l_suppkey", "l_extendedprice", "l_shipdate")
+    rows = rows.unionByName(rows.where("l_orderkey % 10 = 0"))  # identical rows
     return L.flag_duplicates(rows, ["l_orderkey", "l_linenumber"],
                              ["l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "copies", "is_repeat")

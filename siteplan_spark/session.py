@@ -1,5 +1,4 @@
-"""Session creation and the two cluster-wide services the operators rely on:
-a shared checkpoint folder and size-checked broadcasting."""
+"""Session creation and the shared checkpoint folder the operators rely on."""
 
 from __future__ import annotations
 
@@ -7,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A side may be hinted for broadcast only when it has at most this many rows.
-BROADCAST_ROW_LIMIT = 200_000
 
 
 def build_session(app: str = "siteplan", master: str | None = None,
@@ -63,13 +58,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast after a counted check; otherwise leave the choice to AQE.
-
-    The count stops at ``limit + 1`` rows, so checking a huge side stays cheap.
-    """
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df

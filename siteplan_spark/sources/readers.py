@@ -75,22 +75,26 @@ def explode_map_measures(df: DataFrame, map_col: str, name: str = "measure") ->
 def html_table_rows(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """The first HTML table of each document: (id, row_no, cells: map header -> text).
 
-    Total rows are kept; a document without a table gives no row.
+    Rows without cells are left out first, so the header is the first row that has any. Of a
+    repeated header the last cell counts. Total rows are kept; a document without a table
+    gives no row.
     """
     table = F.regexp_extract(html_col, r"(?is)<table[^>]*>(.*?)</table>", 1)
     trs = F.expr(r"regexp_extract_all(_t, '(?is)<tr[^>]*>(.*?)</tr>', 1)")
     cells = F.expr(
-        r"transform(regexp_extract_all(_row, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1), "
-        r"c -> trim(regexp_replace(c, '(?s)<[^>]*>', '')))")
+        r"filter(transform(_trs, r -> transform("
+        r"regexp_extract_all(r, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1), "
+        r"c -> trim(regexp_replace(c, '(?s)<[^>]*>', '')))), r -> size(r) > 0)")
     rows = (df.select(id_col, table.alias("_t")).where("_t <> ''")
-            .select(id_col, trs.alias("_trs"))
-            .withColumn("_row", F.element_at("_trs", 1)).withColumn("_head", cells)
-            .select(id_col, "_head", F.posexplode("_trs").alias("row_no", "_row"))
-            .where("row_no > 0").withColumn("_cells", cells))
+            .select(id_col, trs.alias("_trs")).select(id_col, cells.alias("_rows"))
+            .select(id_col, F.get("_rows", F.lit(0)).alias("_head"),
+                    F.posexplode("_rows").alias("row_no", "_cells")).where("row_no > 0"))
     n = F.least(F.size("_head"), F.size("_cells"))
-    return rows.where(F.size("_cells") > 0).select(
-        id_col, "row_no", F.map_from_arrays(F.slice("_head", F.lit(1), n),
-                                            F.slice("_cells", F.lit(1), n)).alias("cells"))
+    last = F.filter(F.sequence(F.lit(1), n), lambda i: ~F.array_contains(
+        F.slice("_head", i + 1, n - i), F.get("_head", i - 1)))
+    return rows.select(id_col, "row_no", F.map_from_arrays(
+        F.transform(last, lambda i: F.get("_head", i - 1)),
+        F.transform(last, lambda i: F.get("_cells", i - 1))).alias("cells"))
 
 
 def merge_column_batches(batches: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
@@ -169,16 +173,23 @@ def load_population_points(df: DataFrame, parts: Mapping[str, int], population:
                            lon: str) -> DataFrame:
     """Points with validated key widths and castable numbers.
 
-    ``parts``: key column to its required width, in order. Rows that fail are left out;
-    an empty result is an error raised by ``assert_not_empty``.
+    ``parts``: key column to its required width, in order; keys are trimmed first. A blank
+    population is zero and decimals such as ``12.0`` are read. Rows that fail are left out,
+    and no row at all is an error.
     """
-    ok = reduce(lambda a, b: a & b, [F.length(F.col(c)) == n for c, n in parts.items()])
+    keys = [F.trim(F.col(c)) for c in parts]
+    ok = reduce(lambda a, b: a & b, [F.length(k) == n for k, n in zip(keys, parts.values(),
+                                                                     strict=True)])
+    count = F.trim(F.col(population).cast("string"))
     typed = df.where(ok).select(
-        F.concat(*parts).alias("point_id"),
-        F.concat(*list(parts)[:-1]).alias("source_id"),
-        F.col(population).try_cast("bigint").alias("population"),
+        F.concat(*keys).alias("point_id"),
+        F.concat(*keys[:-1]).alias("source_id"),
+        F.when(F.coalesce(count, F.lit("")) == "", 0).otherwise(
+            count.try_cast("double").try_cast("bigint")).cast("bigint").alias("population"),
         F.col(lat).try_cast("double").alias("lat"), F.col(lon).try_cast("double").alias("lon"))
-    return typed.where("population IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+    return assert_not_empty(
+        typed.where("population IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL"),
+        "population points")
 
 
 def assert_not_empty(df: DataFrame, what: str) -> DataFrame:
@@ -244,14 +255,3 @@ def read_parameters(spark: SparkSession, rows: Sequence[Mapping[str, object]],
             raise ValueError(f"parameter without a justification: {row}")
     names = [f.split()[0] for f in schema.split(",")]
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
-
-
-#: Source family to the reader that stages it.
-CATALOGUE = {
-    "stations_json": read_json_records, "charging_units_json": explode_nested,
-    "state_registrations_html": html_table_rows, "registrations_csv": read_delimited,
-    "vehicles_json": read_json_records, "population_centroids_csv": load_population_points,
-    "survey_extracts": merge_column_batches, "land_area_reference": read_keyed_reference,
-    "area_crosswalk": read_delimited, "ratio_crosswalk_json": read_ratio_crosswalk,
-    "roads_wkb": decode_polylines, "seed_csv": read_delimited,
-}

@@ -7,12 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteplan_spark.functions import clean as C
+from siteplan_spark.operators import access as A
 from siteplan_spark.operators import demand as D
 from siteplan_spark.operators import ledger as L
 from siteplan_spark.operators import quality as Q
 from siteplan_spark.operators import ranking as W
 from siteplan_spark.operators import reconcile as RC
 from siteplan_spark.operators import siting as ST
+from siteplan_spark.operators import uncertainty as U
 from siteplan_spark.operators.quantiles import group_median, group_quantile, upper_median
 from siteplan_spark.sources import readers as RD
 from siteplan_spark.sources import sinks as SK
@@ -232,3 +234,65 @@ def test_gates_raise(spark):
     rules = [L.Rule("r", "", F.col("k") == 1)]
     with pytest.raises(ValueError):
         L.merge_ledgers(L.exclusion_ledger(df, rules), L.exclusion_ledger(df, rules))
+
+
+# --- cases that were once answered wrongly ------------------------------------------------
+
+def test_identical_rows_are_repeats(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    got = sorted(tuple(r) for r in L.flag_duplicates(df, ["k"], ["v"]).collect())
+    assert got == [(1, "a", 3, False), (1, "a", 3, True), (1, "b", 3, True), (2, "c", 1, False)]
+
+
+def test_sensitivity_keeps_fractional_weights(spark):
+    df = spark.createDataFrame([(10.0, 0.6), (20.0, 0.6), (30.0, 0.9)], "d double, w double")
+    got = A.sensitivity_curve(df, "d", "w", 5.0, 25.0, 10.0).collect()
+    assert [round(r.population_beyond, 9) for r in got] == [2.1, 1.5, 0.9]
+
+
+def test_gap_of_a_null_group_keeps_its_median(spark):
+    df = spark.createDataFrame([(None, 3.0, 1), (None, 5.0, 1), ("a", 9.0, 2)],
+                               "g string, d double, p int")
+    got = {r.g: r.median_distance for r in A.access_gap(df, "d", "p", 4.0, ["g"]).collect()}
+    assert got == {None: 5.0, "a": 9.0}
+
+
+def test_html_header_after_empty_row_and_repeated(spark):
+    html = ("<table><tr></tr><tr><th>x</th><th>y</th><th>x</th></tr>"
+            "<tr><td>1</td><td>2</td><td>3</td></tr></table>")
+    df = spark.createDataFrame([(1, html)], "id int, html string")
+    assert [r.cells for r in RD.html_table_rows(df, "id", "html").collect()] == [
+        {"x": "3", "y": "2"}]
+
+
+def test_population_points_read_blanks_and_decimals(spark):
+    df = spark.createDataFrame(
+        [("01", " 000001", "", "1", "2"), ("01", "000002", "12.0", "1", "2"),
+         ("01", "000003", None, "1", "2"), ("01", "4", "5", "1", "2"),
+         ("01", "000005", "x", "1", "2")], "s string, t string, p string, a string, o string")
+    got = RD.load_population_points(df, {"s": 2, "t": 6}, "p", "a", "o").collect()
+    assert sorted((r.point_id, r.population) for r in got) == [
+        ("01000001", 0), ("01000002", 12), ("01000003", 0)]
+    with pytest.raises(ValueError):
+        RD.load_population_points(df.limit(0), {"s": 2, "t": 6}, "p", "a", "o")
+
+
+def test_tiers_refuse_without_a_threshold(spark):
+    df = spark.createDataFrame([("county", 0.5)], "grain string, score double")
+    with pytest.raises(ValueError):
+        U.with_tiers(df, "score", "grain")
+    part = spark.createDataFrame([(U.STATE_ONLY, 0.5), (U.STATE_ONLY, None)],
+                                 "grain string, score double")
+    with pytest.raises(Exception, match="has no score"):
+        U.with_tiers(part, "score", "grain").collect()
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_greedy_counts_tiny_gains_and_ends(spark, limit):
+    cand = spark.createDataFrame([(i, 2e-10) for i in range(4)], "candidate int, v double")
+    cover = spark.createDataFrame([(i, i) for i in range(4)], "candidate int, covered int")
+    pick = lambda c, b: ST.greedy_max_coverage(
+        c, cover, b, {"v": 1.0}, group_limit=limit).collect()
+    assert [r.candidate for r in sorted(pick(cand, 3.0))] == [0, 1, 2]
+    assert len(pick(cand, 99.0)) == 4
+    assert pick(cand.withColumn("v", F.lit(0.0)), 3.0) == []

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_module
+from siteplan_spark.plans.registry import QUERIES
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, con, name):
     ok, note = compare(spark, con, name, FOLDER)
     assert ok, note
