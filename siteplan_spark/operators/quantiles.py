@@ -66,8 +66,11 @@ def group_quantile(df: DataFrame, by: Sequence[str], value: str, q: float = 0.5,
     k2 = F.when(F.col("_frac") > 0, F.col("_k") + 1).otherwise(F.col("_k"))
     picked = placed.groupBy(*by).agg(F.max("n").alias("n"), F.max("_frac").alias("_frac"),
                                      at(k1).alias("_a"), at(k2).alias("_z"))
-    return picked.select(
-        *by, "n", (F.col("_a") + F.col("_frac") * (F.col("_z") - F.col("_a"))).alias(name))
+    # the sketch errs by n / ACCURACY ranks at most and the margin is five times that; should a
+    # rank lie outside the bracket all the same, that is an error and never a null
+    missed = F.raise_error(F.lit("the quantile bracket misses its rank")).cast("double")
+    quantile = F.col("_a") + F.col("_frac") * (F.col("_z") - F.col("_a"))
+    return picked.select(*by, "n", F.when(F.col("n") > 0, F.coalesce(quantile, missed)).alias(name))
 
 
 def group_median(df: DataFrame, by: Sequence[str], value: str,

@@ -177,23 +177,27 @@ def greedy_max_coverage(candidates: DataFrame, coverage: DataFrame, budget: floa
 
 
 def score_selection(selection: DataFrame, candidates: DataFrame, coverage: DataFrame,
-                    by: Sequence[str] = (), key: str = "cell") -> DataFrame:
-    """The six objectives of each selection; a cell covered twice counts once."""
+                    by: Sequence[str] = (), key: str = "cell",
+                    of: Sequence[str] = ()) -> DataFrame:
+    """The six objectives of each selection; a cell covered twice counts once.
+
+    ``of`` names columns that tell several selections over the same candidates apart.
+    """
+    picked = selection.select(*of, *by, "candidate")
     attrs = candidates.select(*by, F.col(key).alias("covered"), "population", "demand",
                               "equity_population", "existing_ports")
-    covered = (coverage.join(selection.select(*by, "candidate"), [*by, "candidate"],
-                             "left_semi").select(*by, "covered").distinct()
+    covered = (coverage.join(picked, [*by, "candidate"]).select(*of, *by, "covered").distinct()
                .join(attrs, [*by, "covered"]))
-    got = covered.groupBy(*by).agg(
+    got = covered.groupBy(*of, *by).agg(
         F.sum("population").alias("population_served"), F.sum("demand").alias("demand_covered"),
         F.sum("equity_population").alias("equity_coverage"),
         F.sum(F.when(F.col("existing_ports") <= 0, F.col("demand")).otherwise(0.0))
          .alias("accessibility_improvement"))
     cost = F.col("cost") if "cost" in candidates.columns else F.lit(1.0)
     spend = candidates.select(*by, F.col(key).alias("candidate"), cost.alias("_c")).join(
-        selection.select(*by, "candidate"), [*by, "candidate"]).groupBy(*by).agg(
+        picked, [*by, "candidate"]).groupBy(*of, *by).agg(
         F.sum("_c").alias("_cost"), F.count(F.lit(1)).alias("sites"))
-    joined = got.join(spend, list(by)) if by else got.join(F.broadcast(spend))
+    joined = got.join(spend, [*of, *by]) if of or by else got.join(F.broadcast(spend))
     return joined.withColumns({
         "estimated_utilisation": F.when(F.col("sites") > 0,
                                         F.col("demand_covered") / F.col("sites")).otherwise(0.0),
@@ -219,11 +223,7 @@ def cross_objective_table(portfolios: DataFrame, candidates: DataFrame, coverage
                           by: Sequence[str] = (), key: str = "cell",
                           threshold: float = 0.95) -> DataFrame:
     """(portfolio, by, objective, score, relative, is_tradeoff) for every portfolio."""
-    names = portfolios.select("portfolio").distinct()
-    # portfolio becomes one more group key; there are a handful of portfolios
-    cand = candidates.join(F.broadcast(names))
-    edges = coverage.join(F.broadcast(names))
-    scores = score_selection(portfolios, cand, edges, ["portfolio", *by], key)
+    scores = score_selection(portfolios, candidates, coverage, by, key, ["portfolio"])
     long = scores.select("portfolio", *by, F.inline(F.array(*[
         F.struct(F.lit(o).alias("objective"), F.col(o).cast("double").alias("score"))
         for o in OBJECTIVES])))

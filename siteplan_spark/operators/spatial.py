@@ -331,8 +331,7 @@ def eps_links(df: DataFrame, id_col: str, lat: str, lon: str,
     return members, out.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame,
-                         max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) where component is the smallest id reachable from id.
 
     Each round every node moves to its neighbour with the smallest hashed priority and
@@ -343,9 +342,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame,
     live = cut_lineage(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
                        .where("u <> v").distinct())
     moves: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():  # every round merges at least one pair
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the smallest priority among the neighbours and the node itself
         move = (both.groupBy("u").agg(F.expr("min(struct(xxhash64(v) AS h, v AS v)) AS m"))
@@ -358,9 +355,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame,
             live.join(m1, "u").join(m2, "v")
             .select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v"))
             .where("u <> v").distinct())
-    else:
-        if not live.isEmpty():
-            raise RuntimeError(f"components still open after {max_rounds} rounds")
     # each round's moves are fewer than the last, so the labels follow them in one chain
     label = nodes.select("id", F.col("id").alias("component"))
     for move in moves:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteplan_spark.functions import clean as C
+from siteplan_spark.operators import access as A
 from siteplan_spark.operators import ledger as L
 from siteplan_spark.operators import ranking as W
 from siteplan_spark.operators.access import freshness
@@ -209,12 +210,11 @@ SELECT threshold, CAST(sum(CASE WHEN s_acctbal > threshold THEN 1 ELSE 0 END) AS
 FROM n, p GROUP BY 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     grid = W.parameter_grid(spark, 1000.0, 8500.0, 1500.0)
-    # counts per distinct value first, then a six-row grid
-    hist = read_table(spark, d, "supplier", "s_acctbal").join(
-        F.broadcast(grid), F.col("s_acctbal") > F.col("threshold"))
-    return grid.join(hist.groupBy("threshold").agg(F.count(F.lit(1)).alias("above")),
-                     "threshold", "left").select(
-        "threshold", F.coalesce("above", F.lit(0)).alias("above"))
+    # one histogram over the grid, summed from the top
+    rows = read_table(spark, d, "supplier", "s_acctbal").withColumn("one", F.lit(1))
+    curve = A.sensitivity_curve(rows, "s_acctbal", "one", 1000.0, 8500.0, 1500.0)
+    return grid.join(curve, "threshold", "left").select(
+        "threshold", F.coalesce("points_beyond", F.lit(0)).alias("above"))
 
 
 # --- casts and codes -----------------------------------------------------------------------
