@@ -26,8 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from siteplan_spark.llm.common import cut_lineage, text_bytes
 
@@ -42,6 +44,18 @@ _PLACE = (1 << 30) - 1
 _LINK, _COPY, _HOT, _BLOB = 1, 2, 3, 0
 
 
+@F.arrow_udf(BinaryType())
+def _packed(text: pa.Array) -> pa.Array:
+    """Texts travel to their places and spans compressed."""
+    press = zstandard.ZstdCompressor(level=3)
+    return pa.array([press.compress(t) for t in text_bytes(text)], pa.binary())
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    open_ = zstandard.ZstdDecompressor()
+    return [open_.decompress(t.as_py()) for t in column]
+
+
 # --- anchors ------------------------------------------------------------------------------
 
 def _rolling(buf: np.ndarray, length: int, factor: int) -> np.ndarray:
@@ -229,6 +243,15 @@ def _repeated(hot: int):
 
 # --- runs ---------------------------------------------------------------------------------
 
+def _joined(gone: list[tuple]) -> pa.RecordBatch:
+    """Spans (key, start, end), joined where they overlap or touch."""
+    key, a, b = (np.array(x, np.int64) for x in zip(*sorted(gone)))
+    head = np.r_[True, (key[1:] != key[:-1]) | (a[1:] > b[:-1])]  # runs: ends rise with starts
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(key)) - 1
+    return _rows(_COPY, key[first], a[first], b[last], [b""] * len(first))
+
+
 def _cut(parts: int):
     """Rows (key, text, places): the runs whose anchors repeat, each distinct one once a task."""
     def flush(seen):
@@ -241,7 +264,7 @@ def _cut(parts: int):
         seen: dict = {}
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            texts = list(text_bytes(batch.column(1)))
+            texts = _unpacked(batch.column(1))
             wanted = [np.frombuffer(b"".join(p), "<u4").astype(np.int64)
                       for p in batch.column(2).to_pylist()]
             sought = np.unique(np.concatenate(
@@ -263,11 +286,11 @@ def _cut(parts: int):
                     before = seen.setdefault(run, mine)
                     if before is not mine:
                         later = max(before, mine)
-                        gone.append((later[0], later[1], later[1] + e - f, b""))
+                        gone.append((later[0], later[1], later[1] + e - f))
                         if mine < before:
                             seen[run] = mine
             if gone:
-                yield _rows(_COPY, *zip(*gone))
+                yield _joined(gone)
             if len(seen) > HELD // 8:
                 yield from flush(seen)
                 seen = {}
@@ -470,7 +493,8 @@ def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
                         .repartition(parts, "kind", "key").mapInArrow(_repeated(hot), _SCHEMA))
     places = spots.where(F.col("kind") == _LINK).groupBy("key").agg(
         F.collect_list("data").alias("places"))  # the places of one document
-    runs = texts.join(places, "key").mapInArrow(_cut(parts), _SCHEMA)
+    runs = (texts.select("key", _packed("text").alias("text")).join(places, "key")
+            .mapInArrow(_cut(parts), _SCHEMA))
     split = spots.where(F.col("kind") == _HOT).select(F.col("key").alias("b"),
                                                       F.col("a").alias("salts"))
     if split.isEmpty():
@@ -517,7 +541,7 @@ def merged_spans(spans: np.ndarray) -> list[tuple[int, int]]:
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, spans, kept = [], [], []
-        for text, found in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist()):
+        for text, found in zip(_unpacked(batch.column(1)), batch.column(2).to_pylist()):
             gone = merged_spans(np.array([(s["a"], s["b"]) for s in found or []],
                                          np.int64).reshape(-1, 2))
             edges = [0, *[x for s in gone for x in s], len(text)]
@@ -540,6 +564,7 @@ def remove_repeats(docs: DataFrame, id_col: str, text_col: str, hot: int = HOT)
     """
     texts = _keyed(docs, id_col, text_col)
     spans = repeated_spans(texts.select("key", "text"), hot)
-    return (texts.join(spans, "key", "left").select("id", "text", "spans")
+    packed = texts.select("key", "id", _packed("text").alias("text"))
+    return (packed.join(spans, "key", "left").select("id", "text", "spans")
             .mapInArrow(_finish, "id long, n_bytes long, "
                         "spans array<struct<start: long, end: long>>, kept binary"))
