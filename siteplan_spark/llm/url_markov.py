@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteplan_spark.llm.common import cut_lineage
+
 ORDER = 3
 #: a-z, one digit, ten marks, one symbol for everything else, start and end.
 SYMBOLS = 40
@@ -84,33 +86,33 @@ def log_ratios(grams: DataFrame, training: DataFrame) -> DataFrame:
     ``training``: (folded, label, n) with label ``allow`` or ``block``.
     """
     counted = _grams(training).groupBy("label", "gram").agg(F.sum("n").alias("n"))
-    table = grams.select("gram").distinct()
-    for label in ("allow", "block"):
-        own = counted.where(F.col("label") == label)
-        p = F.lit(1.0 / SYMBOLS)
-        for k in range(ORDER + 1):
-            seen = own.groupBy(F.substring("gram", ORDER + 1 - k, k + 1).alias("_g")).agg(
-                F.sum("n").cast("double").alias("_n"))
-            context = seen.groupBy(F.substring("_g", 1, k).alias("_c") if k else
-                                   F.lit("").alias("_c")).agg(
-                F.sum("_n").alias("_all"), F.count(F.lit(1)).cast("double").alias("_kinds"))
-            table = (table.withColumns({"_g": F.substring("gram", ORDER + 1 - k, k + 1),
-                                        "_c": F.substring("gram", ORDER + 1 - k, k) if k
-                                        else F.lit("")})
-                     .join(seen, "_g", "left").join(context, "_c", "left"))
-            p = F.when(F.col("_all").isNull(), p).otherwise(
-                (F.coalesce("_n", F.lit(0.0)) + F.col("_kinds") * p)
-                / (F.col("_all") + F.col("_kinds")))
-            table = table.withColumn(f"_{label}{k}", p).drop("_g", "_c", "_n", "_all", "_kinds")
-            p = F.col(f"_{label}{k}")
-    ratio = F.ln(F.col(f"_allow{ORDER}")) - F.ln(F.col(f"_block{ORDER}"))
-    return table.select("gram", F.round(ratio * UNIT).cast("long").alias("units"))
+    orders = F.explode(F.sequence(F.lit(0), F.lit(ORDER)))
+    gram = F.substring(F.col("gram"), ORDER + 1 - F.col("k"), F.col("k") + 1)
+    # the tables of one corpus are bounded like its entries, so they are written and joined once
+    seen = cut_lineage(counted.withColumn("k", orders).groupBy("label", "k", gram.alias("g")).agg(
+        F.sum("n").cast("double").alias("n")))
+    contexts = seen.groupBy("label", "k", F.substring(F.col("g"), F.lit(1), F.col("k")).alias("c")
+                            ).agg(F.sum("n").alias("all"),
+                                  F.count(F.lit(1)).cast("double").alias("kinds"))
+    wanted = (grams.select("gram").distinct().withColumn("k", orders)
+              .withColumn("label", F.explode(F.array(F.lit("allow"), F.lit("block"))))
+              .withColumns({"g": gram, "c": F.substring(
+                  F.col("gram"), ORDER + 1 - F.col("k"), F.col("k"))}))
+    steps = (wanted.join(seen, ["label", "k", "g"], "left")
+             .join(contexts, ["label", "k", "c"], "left").groupBy("gram", "label")
+             .agg(F.sort_array(F.collect_list(F.struct("k", "n", "all", "kinds"))).alias("s")))
+    p = F.aggregate("s", F.lit(1.0 / SYMBOLS), lambda p, x: F.when(x["all"].isNull(), p).otherwise(
+        (F.coalesce(x["n"], F.lit(0.0)) + x["kinds"] * p) / (x["all"] + x["kinds"])))
+    pairs = steps.select("gram", "label", F.ln(p).alias("log")).groupBy("gram").agg(
+        (F.max(F.when(F.col("label") == "allow", F.col("log")))
+         - F.max(F.when(F.col("label") == "block", F.col("log")))).alias("ratio"))
+    return pairs.select("gram", F.round(F.col("ratio") * UNIT).cast("long").alias("units"))
 
 
 def score_urls(forms: DataFrame, training: DataFrame) -> DataFrame:
     """(folded, score): mean log ratio of each form in hundredths, rounded down."""
     grams = _grams(forms.select("folded"))
-    ratios = log_ratios(grams, training)
+    ratios = cut_lineage(log_ratios(grams, training))
     # at most SYMBOLS ** 4 rows, see the module's text
     return (grams.join(F.broadcast(ratios), "gram").groupBy("folded")
             .agg(F.floor(F.sum("units") / (F.count(F.lit(1)) * STEP)).alias("score")))
@@ -158,11 +160,11 @@ def filter_urls(pages: DataFrame, id_col: str, url_col: str, rules: Sequence[Rul
     rows = (rows.withColumns({"rule": rule, "ruled": verdict,
                               "folded": folded(F.col("host"), F.col("path"))})
             .withColumn("label", label).drop("url"))
-    forms = rows.groupBy("folded", "label").agg(F.count(F.lit(1)).alias("n"))
+    forms = cut_lineage(rows.groupBy("folded", "label").agg(F.count(F.lit(1)).alias("n")))
     site = F.regexp_extract("folded", r"^[^/]*", 0)
     held = F.md5(site.cast("binary")).substr(1, 1).isin(*HELD_OUT)
     known = forms.where(F.col("label").isNotNull())
-    scores = score_urls(forms.select("folded").distinct(), known.where(~held))
+    scores = cut_lineage(score_urls(forms.select("folded").distinct(), known.where(~held)))
     limit = threshold(known.where(held).join(scores, "folded"))
     allowed = F.lit(True) if limit is None else F.col("score") >= limit
     return rows.join(scores, "folded").select(
