@@ -12,6 +12,11 @@ bound is 1 + damping whatever the corpus. A rate is therefore a function of the
 posterior and of the residuals of all steps, a few numbers each: a step is one pass over a narrow
 table that returns one sum per domain, rates are replayed from the residuals, and neither rates
 nor documents are ever shuffled.
+
+A domain with target 0 is banned. No finite damping takes a rare domain to 0, and fitting its
+residual would press on clean documents for the little that they have of it. A document that looks
+more like the banned domain than like the first one therefore has rate 0, and the others are fitted
+to the other targets.
 """
 
 from __future__ import annotations
@@ -152,14 +157,22 @@ def _stack(column: pa.Array, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
 
 
-def _totals(members: DataFrame, residuals: np.ndarray, n: int) -> np.ndarray:
+def banned(p: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Whether some posterior is over its limit, a multiple of the first domain's."""
+    return (p > p[:, :1] * limits).any(axis=1)
+
+
+def _totals(members: DataFrame, residuals: np.ndarray, limits: np.ndarray) -> np.ndarray:
     """Expected tokens by domain at the replayed rates, then at the replayed points."""
+    n = len(limits)
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * n)
         for batch in batches:
             if batch.num_rows:
                 t = batch.column(0).to_numpy().astype(float)
                 p = _stack(batch.column(1), n)
+                t[banned(p, limits)] = 0
                 total += np.concatenate([(r * t) @ p for r in replay(p, residuals)])
         yield pa.record_batch({f"s{i}": pa.array([x]) for i, x in enumerate(total)})
 
@@ -171,39 +184,48 @@ def _totals(members: DataFrame, residuals: np.ndarray, n: int) -> np.ndarray:
 
 def fit_rates(members: DataFrame, shares: Mapping[str, float], growth: float | None = None,
               damping: float = DAMPING, max_steps: int = MAX_STEPS,
-              tolerance: float = TOLERANCE) -> np.ndarray:
-    """The residuals of the steps, from which ``replay`` gives any document its rate.
+              tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """(residuals of the steps, limits), which give any document its rate by ``replay`` and ``banned``.
 
     ``shares`` are the wanted shares of the expected tokens by domain. The total is the
     corpus's own, or, with ``growth``, what gives the first domain ``growth`` times its present
     tokens. Stops when all domains are within ``tolerance`` of the total, or after ``max_steps``
     (a target without any mass cannot be met). An empty corpus needs no step.
+
+    A domain with target 0 takes part only by its limit: a document is banned if that domain is
+    more likely than the first, or would be if both were equally common in the corpus.
     """
     n = len(DOMAINS)
     want = np.array([shares.get(d, 0.0) for d in DOMAINS])
-    residuals = np.empty((0, n))
-    now = _totals(members, residuals, n)
+    residuals, limits, open_ = np.empty((0, n)), np.full(n, np.inf), want > 0
+    now = _totals(members, residuals, limits)
+    if not open_.all() and open_[0] and now[0] > 0:
+        # a margin for posteriors that differ by rounding alone
+        limits[~open_] = (1 + 1e-6) * np.minimum(1, now[:n] / now[0])[~open_]
+        now = _totals(members, residuals, limits)
     total = now[:n].sum()
     if not total:
-        return residuals
+        return residuals, limits
     goal = want / want.sum()
     if growth is not None:
         goal = goal * growth * now[0] / total / goal[0]
     while len(residuals) < max_steps:
-        if np.abs(now[:n] / total - goal).max() <= tolerance:
+        if np.abs(now[:n] / total - goal)[open_].max() <= tolerance:
             break
-        residuals = np.vstack([residuals, now[n:] / total - goal])
-        now = _totals(members, residuals, n)
-    return residuals
+        residuals = np.vstack([residuals, (now[n:] / total - goal) * open_])
+        now = _totals(members, residuals, limits)
+    return residuals, limits
 
 
-def rate_of(p: Column, residuals: np.ndarray, damping: float = DAMPING) -> Column:
+def rate_of(p: Column, residuals: np.ndarray, limits: np.ndarray,
+            damping: float = DAMPING) -> Column:
     """The fitted rate for a column of posteriors."""
     n = len(DOMAINS)
 
     @F.arrow_udf(DoubleType())
     def rate(column: pa.Array) -> pa.Array:
-        return pa.array(replay(_stack(column, n), residuals, damping)[0])
+        stack = _stack(column, n)
+        return pa.array(np.where(banned(stack, limits), 0.0, replay(stack, residuals, damping)[0]))
 
     return rate(p)
 
@@ -226,8 +248,8 @@ def soft_mixing(docs: DataFrame, id_col: str, text_col: str, weights: np.ndarray
         F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("content"),
         posterior(F.col(text_col), weights).alias("m"))
         .select("id", "content", "m.tokens", "m.p"))
-    residuals = fit_rates(members, shares, growth)
-    return members.withColumn("rate", rate_of(F.col("p"), residuals)).select(
+    fit = fit_rates(members, shares, growth)
+    return members.withColumn("rate", rate_of(F.col("p"), *fit)).select(
         "id", "tokens", "p", "rate",
         copies_of(F.col("rate"), F.col("id"), F.col("content")).alias("copies"))
 
@@ -237,8 +259,8 @@ def take_mixture(docs: DataFrame, id_col: str, text_col: str, weights: np.ndarra
     """The rows of ``docs``, each as often as its rate says; a rate below one may drop it."""
     member = posterior(F.col(text_col), weights)
     members = cut_lineage(docs.select(member.alias("m")).select("m.tokens", "m.p"))
-    residuals = fit_rates(members, shares, growth)
-    copies = copies_of(rate_of(member["p"], residuals), F.col(id_col), F.xxhash64(F.col(text_col)))
+    fit = fit_rates(members, shares, growth)
+    copies = copies_of(rate_of(member["p"], *fit), F.col(id_col), F.xxhash64(F.col(text_col)))
     taken = where_once(docs.withColumn("_copies", copies), F.col("_copies") > 0)
     return taken.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))
                             ).drop("_copies")
