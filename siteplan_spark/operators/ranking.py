@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,22 +11,33 @@ from pyspark.sql import functions as F
 from siteplan_spark.session import cut_lineage
 
 
+#: Bits of ``monotonically_increasing_id`` that count rows inside a partition.
+_ROW_BITS = 33
+
+
+def _sorted_places(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """The rows range-partitioned, ordered and written once, with ``_p`` (the place of their
+    partition) and ``_w`` (their 0-based place inside it), both read off one row id."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    placed = cut_lineage(df.sort(*cols).withColumn("_m", F.monotonically_increasing_id()))
+    return placed.withColumns({"_p": F.shiftright("_m", _ROW_BITS),
+                               "_w": F.col("_m").bitwiseAND((1 << _ROW_BITS) - 1)}).drop("_m")
+
+
 def global_rank(df: DataFrame, order: Sequence[Column | str], name: str = "rank") -> DataFrame:
     """1-based position in a total order, without sending the table to one task.
 
     Rows are range-partitioned on the whole sort key, so equal leading values are split
     by the later keys; the ordered partitions are written once, and each row gets
-    its place in its partition plus the sizes of the partitions before it. ``order``
-    must end in a unique column.
+    its place in its partition plus the sizes of the partitions before it. The full rows
+    are shuffled once. ``order`` must end in a unique column.
     """
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    parts = cut_lineage(df.sort(*cols).withColumn("_p", F.spark_partition_id()))
+    parts = _sorted_places(df, order)
     sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition, so an unpartitioned window is bounded
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(*cols))
-    return (parts.withColumn("_w", within).join(F.broadcast(before.drop("_n")), "_p")
-            .withColumn(name, (F.col("_w") + F.col("_before")).cast("bigint"))
+    return (parts.join(F.broadcast(before.drop("_n")), "_p")
+            .withColumn(name, (F.col("_w") + F.col("_before") + 1).cast("bigint"))
             .drop("_p", "_w", "_before"))
 
 
@@ -33,19 +45,20 @@ def group_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
                name: str = "rank") -> DataFrame:
     """Position inside each group, also when one group holds most of the rows.
 
-    The same sorted partitions serve every group: a partition holds a run of each
-    group, and only the runs' sizes are added up.
+    The same sorted partitions serve every group: a partition holds one run of each
+    group, and a row's position is its place minus the start of the run plus the sizes
+    of the group's earlier runs. The full rows are shuffled once; the runs, one for each
+    group and partition, are joined without moving the rows where they are few.
     """
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    parts = cut_lineage(df.sort(*by, *cols).withColumn("_p", F.spark_partition_id()))
-    runs = parts.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    parts = _sorted_places(df, [*by, *order])
+    keys = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]
+    runs = parts.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_w").alias("_start"))
     before = runs.withColumn("_before", F.sum("_n").over(
-        Window.partitionBy(*by).orderBy("_p")) - F.col("_n")).drop("_n")
-    within = F.row_number().over(Window.partitionBy("_p", *by).orderBy(*cols))
-    ranked = parts.withColumn("_w", within)
-    return (ranked.join(before, [*by, "_p"])
-            .withColumn(name, (F.col("_w") + F.col("_before")).cast("bigint"))
-            .drop("_p", "_w", "_before"))
+        Window.partitionBy(*by).orderBy("_p")) - F.col("_n") - F.col("_start")).select(
+        *[F.col(c).alias(f"_g_{c}") for c in by], F.col("_p").alias("_q"), "_before")
+    return (parts.join(before, reduce(lambda a, b: a & b, keys, F.col("_p") == F.col("_q")))
+            .withColumn(name, (F.col("_w") + F.col("_before") + 1).cast("bigint"))
+            .drop("_p", "_w", "_before", "_q", *[f"_g_{c}" for c in by]))
 
 
 def rank_desc(df: DataFrame, id_col: str, value: str, name: str = "rank") -> DataFrame:
