@@ -17,6 +17,7 @@ from siteplan_spark.llm import (
     simhash_links,
     soft_mixing,
     suffix_dedup,
+    syncmers,
     token_records,
     url_markov,
 )
@@ -244,3 +245,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     model = license_classifier.train(docs, "doc_id", "text")
     return license_classifier.scan_licences(docs, "doc_id", "text", model).withColumnRenamed(
         "id", "doc_id")
+
+
+@query("op11_closed_syncmers")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents", "doc_id", "text")
+    found = syncmers.fingerprint_documents(docs, "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), "n_chars",
+                        F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                        "edited_fingerprint", "near_edited", "near_next")
