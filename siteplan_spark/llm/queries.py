@@ -12,6 +12,7 @@ from siteplan_spark.llm import (
     benchmark_edits,
     byte_cnn,
     credential_links,
+    filter_audit,
     license_classifier,
     line_cleaning,
     simhash_links,
@@ -20,6 +21,7 @@ from siteplan_spark.llm import (
     syncmers,
     token_records,
     url_markov,
+    zone_clusters,
 )
 from siteplan_spark.llm.common import read_table
 
@@ -254,3 +256,92 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_chars",
                         F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
                         "edited_fingerprint", "near_edited", "near_next")
+
+
+_OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+               max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+             + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+             + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS bits
+      FROM d LEFT JOIN lab USING (doc_id)),
+c AS (SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+one(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS x
+           FROM one a, one b, one c, one d, one e WHERE a.b + b.b + c.b + d.b + e.b = 31
+             AND a.b | b.b | c.b | d.b | e.b = 31),
+steps AS (SELECT filter_order, step, x[step] AS bit,
+                 CAST(coalesce(list_sum(x[1:step - 1]), 0) AS INTEGER) AS earlier
+          FROM orders, range(1, 6) AS r(step)),
+found AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN bits & (earlier | bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN bits & earlier = 0 AND bits & bit > 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN bits & earlier > 0 AND bits & bit > 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN bits = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN bits & earlier = 0 AND bits & bit > 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN bits & earlier = 0 AND bits & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, steps GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+       CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM found"""
+
+
+@query("op13_filter_audit", _OP13)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    universe, failing = filter_audit.document_relations(
+        read_table(spark, folder, "documents", "doc_id", "text", "source"), "doc_id", "text",
+        "source", read_table(spark, folder, "labels"), "doc_id", "quality", "toxic")
+    return filter_audit.audit_filters(universe, failing)
+
+
+_VECTORS = """kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c
+  FROM (SELECT v, sha256('1:' || vec_id) AS h FROM kept ORDER BY h, v LIMIT 16))"""
+
+
+def _lloyd(i: int) -> str:
+    """SQL for the assignment to the centroids of round i, and the centroids after it."""
+    return f"""
+a{i} AS MATERIALIZED (
+  SELECT vec_id, any_value(v) AS v, min({{'d': d, 'k': k}}) AS m
+  FROM (SELECT vec_id, v, k, CAST(list_sum(list_transform(list_zip(v, c),
+               lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept, c{i})
+  GROUP BY vec_id),
+c{i + 1} AS MATERIALIZED (
+  SELECT k, coalesce(moved, c) AS c FROM c{i} LEFT JOIN (
+    SELECT k, list(x ORDER BY j) AS moved FROM (
+      SELECT m.k AS k, j, CAST(floor(sum(v[j]) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS x
+      FROM a{i}, range(1, 65) AS r(j) GROUP BY 1, 2) GROUP BY k) USING (k))"""
+
+
+_OP12 = f"""
+WITH {",".join([_VECTORS, *(_lloyd(i) for i in range(4))])}
+SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, m.d AS distance,
+       CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON c3.k = m.k"""
+
+
+@query("op12_zone_clusters", _OP12)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = zone_clusters.cluster_vectors(
+        read_table(spark, folder, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
+    text = F.array_join(F.transform("centroid", lambda x: x.cast("string")), ",")
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia",
+                        "inertia", F.sha2(text, 256).alias("centroid_sha256"))
