@@ -61,6 +61,35 @@ def group_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
             .drop("_p", "_w", "_before", "_q", *[f"_g_{c}" for c in by]))
 
 
+def carry_known(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], value: str,
+                last: str, following: str) -> DataFrame:
+    """``last`` and ``following``: the nearest non-null ``value`` of the group at or before each
+    row, and at or after it, in ``order``.
+
+    The rows are range-partitioned once, so a group of any size is spread. Inside a partition the
+    values are carried along; what crosses its edges comes from one row for each group and
+    partition.
+    """
+    parts = _sorted_places(df, [*by, *order])
+    here = Window.partitionBy("_p", *by).orderBy("_w")
+    known = F.when(F.col(value).isNotNull(), F.col("_w"))
+    runs = parts.groupBy(*by, "_p").agg(F.min_by(value, known).alias("_f"),
+                                        F.max_by(value, known).alias("_l"))
+    across = Window.partitionBy(*by).orderBy("_p")
+    edges = runs.select(
+        *[F.col(c).alias(f"_g_{c}") for c in by], F.col("_p").alias("_q"),
+        F.last("_l", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_f", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    keys = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]
+    carried = parts.withColumns({
+        last: F.last(value, True).over(here.rowsBetween(Window.unboundedPreceding, 0)),
+        following: F.first(value, True).over(here.rowsBetween(0, Window.unboundedFollowing))})
+    return (carried.join(edges, reduce(lambda a, b: a & b, keys, F.col("_p") == F.col("_q")))
+            .withColumns({last: F.coalesce(last, "_before"),
+                          following: F.coalesce(following, "_after")})
+            .drop("_p", "_w", "_q", "_before", "_after", *[f"_g_{c}" for c in by]))
+
+
 def rank_desc(df: DataFrame, id_col: str, value: str, name: str = "rank") -> DataFrame:
     """Descending by value, ties by id, a missing value counting as zero."""
     return (df.withColumn("_v", F.coalesce(F.col(value), F.lit(0.0)))
@@ -275,53 +304,65 @@ def ranked_reasons(df: DataFrame, demand: str, ports: str, distance: str, equity
                                F.lit("Meets the screening criteria"))}).drop("_r")
 
 
-def random_order(id_col: str, seed: int | Column) -> Column:
-    """A reproducible shuffle key: depends on the id and the seed, not on row order."""
+def random_order(id_col: str | Column, seed: int | Column) -> Column:
+    """A reproducible shuffle key of 52 bits: md5 of seed and id, whatever the order of rows."""
+    c = F.col(id_col) if isinstance(id_col, str) else id_col
     s = F.lit(seed) if isinstance(seed, int) else seed
-    return F.xxhash64(F.col(id_col), s)
+    digest = F.md5(F.concat_ws(":", s.cast("string"), c.cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
+
+
+#: Groups of cells that a draw orders as wholes: 16 to this power.
+_GROUP_DIGITS = 3
 
 
 def random_baseline(cells: DataFrame, targets: DataFrame, id_col: str, weight: str,
                     seed: int, draws: int = 200, fraction: float = 0.1) -> DataFrame:
-    """Capture by the top fraction of ``draws`` seeded random rankings: mean, sd, p5, p95.
-
-    A seeded rank only matters for cells that carry a target, and a uniform hash gives
-    the cut-off exactly: per draw the rank of the last captured cell is found from a
-    histogram of hash prefixes, and only the boundary prefix is ordered.
+    """Capture by the top fraction of seeded random rankings of the cells.
+
+    One row: draws, mean, standard_deviation, p5, p95, ``single_draw`` (the ranking of ``seed``
+    itself) and ``single_draw_percentile`` (share of draws below it). Cells fall into 4,096 groups
+    by md5 of their id. A draw orders the groups, and the cells of a group, by md5 of the draw and
+    the group or cell. So the sizes and target weights of the groups, counted once, serve all
+    draws; only the cells of the one group that a draw cuts through are ordered, on average one in
+    4,096. The denominator is every target, also one that is not among the cells.
     """
     total = targets.agg(F.sum(weight).alias("_total"))
-    n = cells.agg(F.count(F.lit(1)).alias("_n"))
-    keyed = (cells.select(id_col).join(targets.select(id_col, weight), id_col, "left")
-             .select(id_col, F.coalesce(weight, F.lit(0.0)).alias("_w"),
-                     F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-             .withColumn("_h", F.xxhash64(F.col(id_col), F.col("draw") + F.lit(seed * 100003)))
-             .withColumn("_slot", F.shiftright("_h", 52)))
-    slots = keyed.groupBy("draw", "_slot").agg(F.count(F.lit(1)).alias("_c"),
-                                               F.sum("_w").alias("_sw"))
-    w = Window.partitionBy("draw").orderBy("_slot")  # at most 4,096 slots per draw
+    own = targets.groupBy(id_col).agg(F.sum(weight).cast("double").alias("_w"))
+    grouped = cut_lineage(cells.select(id_col).join(own, id_col, "left").select(
+        id_col, F.coalesce("_w", F.lit(0.0)).alias("_w"),
+        F.substring(F.md5(F.col(id_col).cast("string")), 1, _GROUP_DIGITS).alias("_g")))
+    sizes = grouped.groupBy("_g").agg(F.count(F.lit(1)).alias("_c"), F.sum("_w").alias("_sw"))
+    n = sizes.agg(F.sum("_c").alias("_n"))
+    # the ranking of the seed itself is one more draw
+    seeds = F.array(F.lit(seed), *[F.lit(seed * 100003 + i) for i in range(draws)])
+    slots = sizes.select("_g", "_c", "_sw", F.explode(seeds).alias("_seed"))
+    w = Window.partitionBy("_seed").orderBy(random_order("_g", F.col("_seed")), "_g")
     run = slots.join(F.broadcast(n)).withColumns({
-        "_end": F.sum("_c").over(w), "_cap": F.sum("_sw").over(w),
+        "_end": F.sum("_c").over(w),
         "_take": F.bround(F.lit(fraction) * F.col("_n")).cast("bigint")})
-    full = run.where(F.col("_end") <= F.col("_take")).groupBy("draw").agg(
-        F.max("_cap").alias("_full"))
+    run = cut_lineage(run)
+    full = run.groupBy("_seed").agg(F.sum(F.when(F.col("_end") <= F.col("_take"), F.col("_sw")))
+                                    .alias("_full"))
     edge = run.where((F.col("_end") > F.col("_take"))
                      & (F.col("_end") - F.col("_c") < F.col("_take"))).select(
-        "draw", "_slot", (F.col("_take") - F.col("_end") + F.col("_c")).alias("_room"))
-    inside = (keyed.join(edge, ["draw", "_slot"])
-              .withColumn("_k", F.row_number().over(
-                  Window.partitionBy("draw", "_slot").orderBy("_h", id_col)))
-              .where(F.col("_k") <= F.col("_room"))
-              .groupBy("draw").agg(F.sum("_w").alias("_part")))
-    drawn = keyed.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw"))
-    captured = (drawn.join(full, "draw", "left").join(inside, "draw", "left")
-                .join(F.broadcast(total))
-                .select("draw", ((F.coalesce("_full", F.lit(0.0))
-                                  + F.coalesce("_part", F.lit(0.0))) / F.col("_total"))
-                        .alias("captured")))
-    return captured.agg(F.count(F.lit(1)).alias("draws"), F.avg("captured").alias("mean"),
-                        F.stddev_pop("captured").alias("standard_deviation"),
-                        F.percentile("captured", 0.05).alias("p5"),
-                        F.percentile("captured", 0.95).alias("p95"))
+        "_seed", "_g", (F.col("_take") - F.col("_end") + F.col("_c")).alias("_room"))
+    inside = grouped.join(edge, "_g").withColumn("_k", F.row_number().over(
+        Window.partitionBy("_seed").orderBy(random_order(id_col, F.col("_seed")), id_col)))
+    part = inside.where(F.col("_k") <= F.col("_room")).groupBy("_seed").agg(
+        F.sum("_w").alias("_part"))
+    captured = full.join(part, "_seed", "left").join(F.broadcast(total)).select(
+        "_seed", ((F.coalesce("_full", F.lit(0.0)) + F.coalesce("_part", F.lit(0.0)))
+                  / F.col("_total")).alias("captured"))
+    single = captured.where(F.col("_seed") == seed).select(F.col("captured").alias("single_draw"))
+    rest = captured.where(F.col("_seed") != seed).join(F.broadcast(single))
+    return rest.agg(F.count(F.lit(1)).alias("draws"), F.avg("captured").alias("mean"),
+                    F.stddev_pop("captured").alias("standard_deviation"),
+                    F.percentile("captured", 0.05).alias("p5"),
+                    F.percentile("captured", 0.95).alias("p95"),
+                    F.max("single_draw").alias("single_draw"),
+                    F.avg((F.col("captured") < F.col("single_draw")).cast("double"))
+                    .alias("single_draw_percentile"))
 
 
 def event_window(ts: Column | str, cutoff: str, months: int = 24) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteplan_spark.operators.ledger import Rule, disposition
+from siteplan_spark.operators.ranking import carry_known
 from siteplan_spark.session import cut_lineage
 
 TOLERANCE = 1e-6
@@ -226,19 +227,34 @@ def nearest_vintage_join(df: DataFrame, vintages: DataFrame, key: str, observed_
                          vintage_date: str, value: str) -> DataFrame:
     """The vintage nearest in time to each observation; the newest when it has no date.
 
-    The vintages of a key are a short published series, so they travel as one array per
-    key and each observation picks from it: no row is multiplied.
+    An equally near pair gives the newer, vintages of one day the smaller value. Only the distinct
+    (key, day) of the observations meet the vintages: both are put in order together and the
+    vintage before and after is carried to each day, so neither a key with very many vintages nor
+    one with very many observations is gathered. A key without a vintage gets nulls.
     """
-    series = vintages.groupBy(key).agg(
-        F.collect_list(F.struct(vintage_date, value)).alias("_v"))
-    at = F.col(observed_at)
-    nearest = F.array_min(F.transform("_v", lambda v: F.struct(
-        F.when(at.isNull(), F.lit(0)).otherwise(F.abs(F.datediff(v[vintage_date], at)))
-         .alias("d"),
-        (-F.unix_date(v[vintage_date])).alias("newest"), v[vintage_date].alias("day"),
-        v[value].alias("val"))))
-    return df.join(series, key, "left").withColumn("_n", nearest).withColumns({
-        "matched_vintage": F.col("_n.day"), "matched_value": F.col("_n.val")}).drop("_v", "_n")
+    days = vintages.where(F.col(vintage_date).isNotNull()).groupBy(
+        key, F.col(vintage_date).alias("_day")).agg(F.min(value).alias("_value"))
+    found = F.struct("_day", "_value")
+    asked = df.where(F.col(observed_at).isNotNull()).select(
+        key, F.col(observed_at).cast("date").alias("_day")).distinct()
+    line = days.select(key, "_day", found.alias("_v")).unionByName(
+        asked.withColumn("_asked", F.lit(1)), allowMissingColumns=True)
+    # a vintage of the same day comes first, and so is carried to the question
+    placed = carry_known(line, [key], ["_day", F.col("_asked").asc_nulls_first()], "_v",
+                         "_last", "_next").where("_asked = 1")
+    before = F.abs(F.datediff(F.col("_last._day"), F.col("_day")))
+    after = F.abs(F.datediff(F.col("_next._day"), F.col("_day")))
+    pick = F.when(F.col("_next").isNull() | (before < after), F.col("_last")).otherwise(
+        F.coalesce("_next", "_last"))
+    dated = placed.select(F.col(key).alias("_key"), F.col("_day").alias("_at"),
+                          pick.alias("_dated"))
+    newest = days.groupBy(F.col(key).alias("_newest_key")).agg(F.max_by(found, "_day").alias("_new"))
+    matched = F.when(F.col(observed_at).isNull(), F.col("_new")).otherwise(F.col("_dated"))
+    return (df.join(dated, (F.col(key) == F.col("_key"))
+                    & (F.col(observed_at).cast("date") == F.col("_at")), "left")
+            .join(newest, F.col(key) == F.col("_newest_key"), "left")
+            .withColumns({"matched_vintage": matched["_day"], "matched_value": matched["_value"]})
+            .drop("_key", "_at", "_dated", "_newest_key", "_new"))
 
 
 def as_of_release(cutoffs: DataFrame, vintages: DataFrame, source: str = "source",
@@ -246,16 +262,28 @@ def as_of_release(cutoffs: DataFrame, vintages: DataFrame, source: str = "source
     """(chosen, excluded) editions per source and cutoff.
 
     An edition is usable when its release and its period end are both known for certain
-    and not after the cutoff; the newest usable one is chosen.
+    and not after the cutoff; the newest usable one is chosen. The cutoffs, a declared list, stand
+    in one row. An edition is counted where it first becomes usable, so a source of many editions
+    is reduced to one row for each cutoff before anything is repeated.
     """
-    # editions per source are a short published series, cutoffs a declared handful
-    crossed = vintages.join(F.broadcast(cutoffs.select(cutoff)))
-    usable = (F.col("certain") & (F.col("released") <= F.col(cutoff))
-              & (F.col("period_end") <= F.col(cutoff)))
-    chosen = (crossed.where(usable).groupBy(source, cutoff)
-              .agg(F.max(F.struct("released", "period_end", "edition")).alias("_c"))
-              .select(source, cutoff, "_c.*"))
-    excluded = crossed.where(~F.coalesce(usable, F.lit(False))).select(
+    dates = cutoffs.select(cutoff).where(F.col(cutoff).isNotNull()).distinct()
+    listed = vintages.join(F.broadcast(dates.agg(F.sort_array(F.collect_list(cutoff))
+                                                 .alias("_cuts"))))
+    since = F.when(F.col("certain"), F.when(
+        F.col("released").isNotNull() & F.col("period_end").isNotNull(),
+        F.greatest("released", "period_end")))
+    listed = listed.withColumn("_since", since)
+    later = F.filter("_cuts", lambda c: c >= F.col("_since"))
+    # running maxima: the best edition of a cutoff is that of all slots up to it
+    slots = listed.withColumn("_open", later).where(F.size("_open") > 0).groupBy(
+        source, F.get("_open", F.lit(0)).alias("_from")).agg(
+        F.max(F.struct("released", "period_end", "edition")).alias("_c"),
+        F.max("_open").alias("_open"))
+    chosen = (slots.select(source, F.explode("_open").alias(cutoff), "_c")
+              .groupBy(source, cutoff).agg(F.max("_c").alias("_c")).select(source, cutoff, "_c.*"))
+    shut = F.filter("_cuts", lambda c: F.col("_since").isNull() | (c < F.col("_since")))
+    excluded = listed.select(source, F.explode(shut).alias(cutoff), "edition", "certain",
+                             "released").select(
         source, cutoff, "edition",
         F.when(~F.coalesce("certain", F.lit(False)), "release_uncertain")
         .when(F.col("released") > F.col(cutoff), "released_after_cutoff")

@@ -2,29 +2,24 @@
 
 from __future__ import annotations
 
-import heapq
-import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import count
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteplan_spark.functions.clean import is_saturated
 from siteplan_spark.functions.geo import k_ring
 from siteplan_spark.operators.ledger import Rule, classify_first_match, exclusion_ledger
-from siteplan_spark.operators.ranking import jaccard, relative_to_best, top_k_per_group
+from siteplan_spark.operators.ranking import (
+    jaccard,
+    random_order,
+    relative_to_best,
+    top_k_per_group,
+)
 from siteplan_spark.session import cut_lineage
 
-#: A group is solved inside one task only when its rows are at most this many.
-GROUP_ROW_LIMIT = 200_000
-
-#: Gains equal in this many significant digits are ties, so the order of a sum decides nothing;
-#: their size does not matter.
-GAIN_DIGITS = 12
-
 # The objectives every portfolio is scored on.
 OBJECTIVES = ("population_served", "demand_covered", "equity_coverage",
               "accessibility_improvement", "estimated_utilisation", "cost_efficiency")
@@ -70,110 +65,113 @@ def coverage_edges(candidates: DataFrame, level: int, k: int = 1, cell: str = "c
     return reach.join(have, [*by, "covered"], "left_semi")
 
 
-def _solve(by: Sequence[str], budget: float):
-    """Lazy greedy over one bounded group. Each heap entry is an upper bound of a gain."""
-    def run(key: tuple, cand: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        value = dict(zip(cand["candidate"], cand["value"], strict=True))
-        cost = dict(zip(cand["candidate"], cand["cost"], strict=True))
-        reach = {c: sorted(g) for c, g in edges.groupby("candidate")["covered"]}
-
-        def gain(c) -> float:
-            total = math.fsum(value.get(x, 0.0) for x in reach.get(c, ()) if x not in covered)
-            return float(f"{total / cost[c] if cost[c] > 0 else total:.{GAIN_DIGITS - 1}e}")
-
-        covered: set = set()
-        heap = [(-gain(c), c) for c in value]
-        heapq.heapify(heap)
-        spent, picked = 0.0, []
-        while heap:
-            bound, c = heapq.heappop(heap)
-            if spent + cost[c] > budget:
-                continue  # spending only grows, so it can never become affordable
-            now = gain(c)
-            if now <= 0:
-                continue
-            if -bound > now:
-                heapq.heappush(heap, (-now, c))
-                continue
-            picked.append((c, now))
-            covered.update(reach.get(c, ()))
-            spent += cost[c]
-        return pd.DataFrame([(*key, i + 1, c, float(g)) for i, (c, g) in enumerate(picked)],
-                            columns=[*by, "step", "candidate", "gain"])
-    return run
-
-
-def _rounds(candidates: DataFrame, edges: DataFrame, budget: float,
-            by: Sequence[str]) -> DataFrame:
-    """The same rule as distributed rounds: one argmax per group and round.
-
-    Used when some group is too big for a task. The state (uncovered cells, chosen
-    candidates, money spent) stays in checkpointed tables. It ends when no group picks.
+#: Values are added up as decimals with this many digits after the point, so the order of a sum
+#: decides nothing.
+VALUE_DIGITS = 18
+
+
+def _rounds(links: DataFrame, keys: list[str], spent: DataFrame, budget: float,
+            most: int | None) -> DataFrame:
+    """(keys, candidate, score, cost, total): what greedy picks before its first pick over budget.
+
+    A candidate whose score beats all candidates it shares a cell with is picked before any of
+    them, with the gain it has now, since gains only fall when a neighbour is picked. So each
+    round takes all such local maxima at once; sorted by score they are the picks in their order.
+    Once the picks of a group exceed the budget, candidates that come later are left alone.
+    ``total`` is the money spent up to the pick.
     """
-    value = candidates.select(*by, F.col("candidate").alias("covered"), "value")
-    links = cut_lineage(edges.join(value, [*by, "covered"]))
-    chosen = candidates.limit(0).select(
-        *by, F.lit(0).alias("step"), "candidate", F.lit(0.0).alias("gain"))
-    open_cand = candidates.select(*by, "candidate", "cost").withColumn("_spent", F.lit(0.0))
-    for step in count(1):
-        gains = links.groupBy(*by, "candidate").agg(F.sum("value").alias("_g"))
-        scored = open_cand.where(F.col("_spent") + F.col("cost") <= budget).join(
-            gains, [*by, "candidate"]).withColumn("gain", F.format_string(
-                f"%.{GAIN_DIGITS - 1}e", F.when(F.col("cost") > 0, F.col("_g") / F.col("cost"))
-                .otherwise(F.col("_g"))).cast("double")).where("gain > 0")
-        pick = cut_lineage(scored.groupBy(*by).agg(F.min_by(
-            F.struct("candidate", "gain", "cost"),
-            F.struct((-F.col("gain")).alias("g"), F.col("candidate").alias("c"))).alias("_p"))
-            .where("_p IS NOT NULL").select(*by, F.lit(step).alias("step"), "_p.*"))
-        if pick.isEmpty():
-            break
-        chosen = cut_lineage(chosen.unionByName(pick.select(chosen.columns)))
-        done = links.join(pick.select(*by, "candidate"), [*by, "candidate"], "left_semi") \
-            .select(*by, "covered").distinct()
-        links = cut_lineage(links.join(done, [*by, "covered"], "left_anti"))
-        paid = pick.select(*by, F.col("cost").alias("_paid"), F.col("candidate").alias("_won"))
-        joined = open_cand.join(paid, list(by), "left") if by else open_cand.join(
-            F.broadcast(paid), how="left")
-        open_cand = cut_lineage(
-            joined.where(F.col("_won").isNull() | (F.col("candidate") != F.col("_won")))
-            .withColumn("_spent", F.col("_spent") + F.coalesce("_paid", F.lit(0.0)))
-            .drop("_paid", "_won"))
-    return chosen.select(*by, "step", "candidate", "gain")
+    picks = cuts = None
+    while True:
+        score = F.col("_g").cast("double")
+        live = links.groupBy(*keys, "candidate").agg(
+            F.sum("value").alias("_g"), F.max("cost").alias("cost")).where("_g > 0").withColumn(
+            "score", F.when(F.col("cost") > 0, score / F.col("cost")).otherwise(score)).drop("_g")
+        if cuts is not None:
+            live = live.join(cuts, keys, "left").where(
+                F.col("_cut").isNull() | (F.col("score") > F.col("_cut"))
+                | ((F.col("score") == F.col("_cut")) & (F.col("candidate") < F.col("_last")))
+            ).drop("_cut", "_last")
+        ranked = links.join(live, [*keys, "candidate"]).select(
+            *keys, "candidate", "covered", (-F.col("score")).alias("_s"))
+        best = ranked.groupBy(*keys, "covered").agg(
+            F.min(F.struct("_s", "candidate")).alias("_b"))
+        beaten = ranked.join(best, [*keys, "covered"]).where(
+            F.col("_b.candidate") != F.col("candidate")).select(*keys, "candidate").distinct()
+        won = cut_lineage(live.join(beaten, [*keys, "candidate"], "left_anti")
+                          .select(*keys, "candidate", "score", "cost"))
+        if won.isEmpty():
+            return picks if picks is not None else won.withColumn("total", F.lit(0.0))
+        order = [F.desc("score"), F.col("candidate")]
+        w = Window.partitionBy(*keys).orderBy(*order)
+        all_picks = won if picks is None else picks.select(won.columns).unionByName(won)
+        if most is not None:  # more picks than this cost more than the budget
+            all_picks = all_picks.withColumn("_k", F.row_number().over(w)).where(
+                F.col("_k") <= most + 1).drop("_k")
+        placed = all_picks.join(spent, keys, "left").withColumn(
+            "total", F.coalesce("_spent", F.lit(0.0)) + F.sum("cost").over(w)).drop("_spent")
+        over = F.min(F.when(F.col("total") > budget, F.struct(
+            (-F.col("score")).alias("s"), "candidate")))
+        picks = cut_lineage(placed)
+        cuts = picks.groupBy(*keys).agg(over.alias("_o")).where("_o IS NOT NULL").select(
+            *keys, (-F.col("_o.s")).alias("_cut"), F.col("_o.candidate").alias("_last"))
+        gone = links.join(won.select(*keys, "candidate"), [*keys, "candidate"], "left_semi")
+        links = cut_lineage(links.join(gone.select(*keys, "covered").distinct(),
+                                       [*keys, "covered"], "left_anti"))
 
 
 def greedy_max_coverage(candidates: DataFrame, coverage: DataFrame, budget: float,
                         weights: Mapping[str, float], by: Sequence[str] = (),
-                        cost: str | None = None, group_limit: int = GROUP_ROW_LIMIT,
-                        key: str = "candidate") -> DataFrame:
+                        cost: str | None = None, key: str = "candidate") -> DataFrame:
     """(by, step, candidate, gain): repeatedly the best marginal weighted gain per cost.
 
     Ties go to the smallest id; a candidate that no longer fits the budget is skipped;
-    the run ends when nothing affordable adds value. Groups are independent: they are
-    solved side by side in tasks when every group is measured to be small, else by
-    distributed rounds with the same result.
+    the run ends when nothing affordable adds value. All groups, of any size, are solved in the
+    same rounds (see ``_rounds``), far fewer than there are picks. When a pick does not fit, what
+    was picked before it stands, all that no longer fits is left out, and the rounds go on from
+    there. The number of picks of a group is bounded by its budget; its candidates are not.
     """
+    keys = list(by) or ["_all"]
+    whole = [] if by else [F.lit(1).alias("_all")]
     score = reduce(lambda a, b: a + b, [
         F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * float(w) for c, w in weights.items()])
-    cand = candidates.select(*by, F.col(key).alias("candidate"), score.alias("value"),
-                             (F.col(cost).cast("double") if cost else F.lit(1.0)).alias("cost"))
-    # the coverage is measured first and then solved: read twice, so cut once
-    edges = cut_lineage(coverage.select(*by, "candidate", "covered"))
-    sizes = [t.groupBy(*by).count().agg(F.max("count")).first()[0] or 0 for t in (edges, cand)]
-    if max(sizes) > group_limit:
-        return _rounds(cand, edges, budget, by)
-    schema = ", ".join([*[f"`{c}` {candidates.schema[c].dataType.simpleString()}" for c in by],
-                        "step int", f"candidate {candidates.schema[key].dataType.simpleString()}",
-                        "gain double"])
-    solve = _solve(by, budget)
-    if by:
-        # renamed, so that the two sides never share an attribute
-        left = cand.groupBy(*by)
-        right = edges.withColumnsRenamed({c: f"_e_{c}" for c in by}).groupBy(
-            *[f"_e_{c}" for c in by])
-        return left.cogroup(right).applyInPandas(solve, schema)
-    left = cand.withColumn("_all", F.lit(1)).groupBy("_all")
-    right = edges.withColumn("_all", F.lit(1)).groupBy("_all")
-    return left.cogroup(right).applyInPandas(lambda _k, c, e: solve((), c, e), schema)
+    cand = cut_lineage(candidates.select(
+        *by, *whole, F.col(key).alias("candidate"),
+        score.cast(f"decimal(38,{VALUE_DIGITS})").alias("value"),
+        (F.col(cost).cast("double") if cost else F.lit(1.0)).alias("cost")))
+    edges = coverage.select(*by, *whole, "candidate", "covered").distinct()
+    value = cand.select(*keys, F.col("candidate").alias("covered"), "value")
+    links = cut_lineage(edges.join(cand.select(*keys, "candidate", "cost").where(
+        F.col("cost") <= budget), [*keys, "candidate"]).join(value, [*keys, "covered"]).where(
+        "value <> 0"))
+    least = cand.agg(F.min("cost")).first()[0]
+    most = int(budget // least) if least and least > 0 else None
+    kind = {c: links.schema[c].dataType.simpleString() for c in [*keys, "candidate"]}
+    spark = candidates.sparkSession
+    spent = spark.createDataFrame([], ", ".join([*[f"`{c}` {kind[c]}" for c in keys],
+                                                 "_spent double"]))
+    chosen = []
+    for phase in count():
+        picks = _rounds(links, keys, spent, budget, most)
+        kept = cut_lineage(picks.join(
+            picks.where(F.col("total") > budget).groupBy(*keys).agg(F.min("total").alias("_over")),
+            keys, "left").where(F.col("_over").isNull() | (F.col("total") < F.col("_over")))
+            .drop("_over").withColumn("phase", F.lit(phase)))
+        chosen.append(kept)
+        cut = picks.where(F.col("total") > budget).select(*keys).distinct()
+        paid = kept.groupBy(*keys).agg(F.max("total").alias("_paid"))
+        spent = cut_lineage(spent.join(paid, keys, "full").select(
+            *keys, F.coalesce("_paid", "_spent").alias("_spent")))
+        # only groups that met a pick over budget have anything left to do
+        mine = links.join(kept.select(*keys, "candidate"), [*keys, "candidate"], "left_semi")
+        links = cut_lineage(
+            links.join(cut, keys, "left_semi").join(spent, keys, "left")
+            .where(F.coalesce("_spent", F.lit(0.0)) + F.col("cost") <= budget).drop("_spent")
+            .join(mine.select(*keys, "covered").distinct(), [*keys, "covered"], "left_anti"))
+        if links.isEmpty():
+            break
+    w = Window.partitionBy(*keys).orderBy("phase", F.desc("score"), "candidate")
+    return reduce(DataFrame.unionByName, chosen).select(
+        *by, F.row_number().over(w).alias("step"), "candidate", F.col("score").alias("gain"))
 
 
 def score_selection(selection: DataFrame, candidates: DataFrame, coverage: DataFrame,
@@ -212,7 +210,7 @@ def baseline_portfolios(candidates: DataFrame, budget: int, by: Sequence[str],
     rules = {"baseline_population_weighted": F.col("population").cast("double"),
              "baseline_demand_only": F.col("demand").cast("double"),
              "baseline_existing_network_proximity": F.col("existing_ports").cast("double"),
-             "baseline_random": F.xxhash64(F.col(key), F.lit(seed)).cast("double")}
+             "baseline_random": random_order(key, seed)}
     rows = candidates.select(*by, F.col(key).alias("candidate"), F.inline(F.array(*[
         F.struct(F.lit(n).alias("portfolio"), c.alias("_v")) for n, c in rules.items()])))
     top = top_k_per_group(rows, ["portfolio", *by], budget, "_v", "candidate")
@@ -233,6 +231,82 @@ def cross_objective_table(portfolios: DataFrame, candidates: DataFrame, coverage
     return relative_to_best(long.withColumn("_o", tag), "_o", "score", threshold).drop("_o")
 
 
+def coverage_bound(cells: DataFrame, edges: DataFrame, budget: float, keys: Sequence[str],
+                   goals: DataFrame, steps: int = 20) -> DataFrame:
+    """(keys, bound): no portfolio of the budget that meets the floor covers more than ``bound``.
+
+    ``cells(keys, cell, cost, main, other)`` holds what covering a cell is worth, ``edges(keys,
+    candidate, covered)`` which cells a candidate covers, ``goals(keys, floor, reached)`` the least
+    ``other`` to be covered and what some portfolio reaches of ``main``.
+
+    "A covered cell has a chosen candidate" and the floor are priced instead of demanded. With any
+    prices the best choice is separate for each cell and, for the candidates, a knapsack; its value
+    (with the knapsack's last piece cut) bounds the true optimum from above. Prices follow the
+    subgradient, with steps from the distance between the bound and ``reached``, and the smallest
+    bound seen is kept. A step is two aggregates over the edges; the knapsack orders no more
+    candidates of a group than its budget can hold. A floor that no portfolio can meet may give a
+    bound below what ``reached`` says.
+    """
+    keys = list(keys)
+    sums = cells.groupBy(*keys).agg(F.sum("main").alias("_m"), F.sum("other").alias("_o"))
+    unit = lambda c, t: F.when(F.col(t) > 0, F.col(c) / F.col(t)).otherwise(0.0)
+    # both objectives as shares of their totals, so that one step length serves both prices
+    scaled = cells.join(sums, keys)
+    cost = cells.select(*keys, F.col("cell").alias("candidate"), F.col("cost"))
+    links = cut_lineage(edges.join(cost, [*keys, "candidate"]).select(
+        *keys, "candidate", "covered", "cost"))
+    state = cut_lineage(scaled.select(
+        *keys, F.col("cell").alias("covered"), unit("main", "_m").alias("p"),
+        unit("other", "_o").alias("s")).withColumn("price", F.col("p")))
+    heads = cut_lineage(goals.join(sums, keys).select(
+        *keys, F.col("_m").alias("scale"), unit("floor", "_o").alias("floor"),
+        unit("reached", "_m").alias("reached"), F.lit(0.0).alias("mu"),
+        F.lit(1.0).alias("best")))
+    least = cells.agg(F.min("cost")).first()[0]
+    most = int(budget // least) + 1 if least and least > 0 else None
+    for step in range(steps):
+        worth = links.join(state.select(*keys, "covered", "price"), [*keys, "covered"]).groupBy(
+            *keys, "candidate").agg(F.sum("price").alias("r"), F.max("cost").alias("cost"))
+        w = Window.partitionBy(*keys).orderBy(
+            F.desc(F.col("r") / F.greatest("cost", F.lit(1e-300))), "candidate")
+        if most is not None:
+            worth = worth.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most)
+        before = F.sum("cost").over(w) - F.col("cost")
+        part = F.when(F.col("cost") > 0, (F.lit(float(budget)) - before) / F.col("cost")).otherwise(1.0)
+        taken = cut_lineage(worth.withColumn("x", F.greatest(F.lit(0.0), F.least(
+            F.lit(1.0), part))).where("x > 0").select(*keys, "candidate", "x", "r"))
+        knapsack = taken.groupBy(*keys).agg(F.sum(F.col("x") * F.col("r")).alias("_x"))
+        cover = links.join(taken.select(*keys, "candidate", "x"), [*keys, "candidate"]).groupBy(
+            *keys, "covered").agg(F.sum("x").alias("_c"))
+        gap = F.col("p") + F.col("mu") * F.col("s") - F.col("price")
+        covered = F.coalesce("_c", F.lit(0.0))
+        # at a price equal to the worth any share may be taken: the covered one is best
+        y = F.when(gap > 1e-15, 1.0).when(gap < -1e-15, 0.0).otherwise(F.least(covered, F.lit(1.0)))
+        moved = cut_lineage(state.join(heads.select(*keys, "mu"), keys)
+                            .join(cover, [*keys, "covered"], "left")
+                            .withColumn("_y", y).withColumn("_g", covered - F.col("_y"))
+                            .withColumn("_v", F.greatest(gap, F.lit(0.0)))
+                            .select(*keys, "covered", "p", "s", "price", "_y", "_g", "_v"))
+        tally = moved.groupBy(*keys).agg(
+            F.sum("_v").alias("_v"), F.sum(F.col("_g") * F.col("_g")).alias("_gg"),
+            F.sum(F.col("_y") * F.col("s")).alias("_s"))
+        bound = F.col("_v") + F.coalesce("_x", F.lit(0.0)) - F.col("mu") * F.col("floor")
+        slack = F.col("_s") - F.col("floor")
+        length = F.when(F.col("_gg") + slack * slack > 0, 0.95 ** step * F.greatest(
+            F.col("_u") - F.col("reached"), F.lit(0.0)) / (F.col("_gg") + slack * slack)).otherwise(0.0)
+        heads = cut_lineage(heads.join(tally, keys).join(knapsack, keys, "left")
+                            .withColumn("_u", bound).withColumn("_t", length)
+                            .select(*keys, "scale", "floor", "reached",
+                                    F.greatest(F.lit(0.0), F.col("mu") - F.col("_t") * slack)
+                                    .alias("mu"), F.least("best", "_u").alias("best"), "_t"))
+        state = moved.join(heads.select(*keys, "_t"), keys).select(
+            *keys, "covered", "p", "s", F.greatest(
+                F.lit(0.0), F.col("price") - F.col("_t") * F.col("_g")).alias("price"))
+        state = cut_lineage(state)
+        heads = heads.drop("_t")
+    return heads.select(*keys, (F.col("best") * F.col("scale")).alias("bound"))
+
+
 def epsilon_sweep(candidates: DataFrame, coverage: DataFrame, budget: float, primary: str,
                   secondary: str, levels: int = 5, by: Sequence[str] = (),
                   key: str = "cell") -> DataFrame:
@@ -240,18 +314,19 @@ def epsilon_sweep(candidates: DataFrame, coverage: DataFrame, budget: float, pri
 
     Each (group, sense, level) is one weighted greedy run: the weight moves from the
     primary to the secondary objective with the floor, and ``feasible`` says whether the
-    floor was met. No optimality is claimed.
+    floor was met. ``with_gaps`` adds how far from the best it can be at most.
     """
     grid = [(s, i, i / (levels - 1)) for s in ("primary", "secondary") for i in range(levels)]
     cells = F.array(*[F.struct(F.lit(s).alias("sense"), F.lit(i).alias("level"),
                                F.lit(e).alias("epsilon")) for s, i, e in grid])
     spread = candidates.select("*", F.inline(cells))
-    main = F.when(F.col("sense") == "primary", F.col(primary)).otherwise(F.col(secondary))
-    other = F.when(F.col("sense") == "primary", F.col(secondary)).otherwise(F.col(primary))
+    forward = F.col("sense") == "primary"
+    main = F.when(forward, F.col(primary)).otherwise(F.col(secondary))
+    other = F.when(forward, F.col(secondary)).otherwise(F.col(primary))
     sums = candidates.groupBy(*by).agg(F.sum(primary).alias("_ps"), F.sum(secondary).alias("_ss"))
     spread = spread.join(sums, list(by)) if by else spread.join(F.broadcast(sums))
-    main_t = F.when(F.col("sense") == "primary", F.col("_ps")).otherwise(F.col("_ss"))
-    other_t = F.when(F.col("sense") == "primary", F.col("_ss")).otherwise(F.col("_ps"))
+    main_t = F.when(forward, F.col("_ps")).otherwise(F.col("_ss"))
+    other_t = F.when(forward, F.col("_ss")).otherwise(F.col("_ps"))
     norm = lambda v, t: F.when(t > 0, v / t).otherwise(0.0)
     spread = spread.withColumn("_score", norm(main, main_t) * (1.0 - F.col("epsilon"))
                                + norm(other, other_t) * F.col("epsilon"))
@@ -265,8 +340,7 @@ def epsilon_sweep(candidates: DataFrame, coverage: DataFrame, budget: float, pri
                      [*by, "covered"]))
     got = covered.groupBy(*keys).agg(F.sum("_p").alias("primary_covered"),
                                      F.sum("_s").alias("secondary_covered"))
-    floor_on = F.when(F.col("sense") == "primary", F.col("secondary_covered")).otherwise(
-        F.col("primary_covered"))
+    floor_on = F.when(forward, F.col("secondary_covered")).otherwise(F.col("primary_covered"))
     top = got.withColumn("_f", floor_on).where(F.col("level") == levels - 1).select(
         *by, "sense", F.col("_f").alias("ceiling"))
     out = got.withColumn("_f", floor_on).join(top, [*by, "sense"])
@@ -275,6 +349,32 @@ def epsilon_sweep(candidates: DataFrame, coverage: DataFrame, budget: float, pri
                             "feasible": F.col("_f") >= eps * F.col("ceiling") - 1e-9}).drop("_f")
 
 
+def with_gaps(sweep: DataFrame, candidates: DataFrame, coverage: DataFrame, budget: float,
+              primary: str, secondary: str, by: Sequence[str] = (), key: str = "cell",
+              steps: int = 20) -> DataFrame:
+    """The rows of ``epsilon_sweep`` with ``bound`` (see ``coverage_bound``) and ``gap``, the share
+    of it that the selection misses; null where the selection does not meet the floor."""
+    keys = [*by, "sense", "level"]
+    sweep = cut_lineage(sweep)
+    forward = F.col("sense") == "primary"
+    reached = F.when(forward, F.col("primary_covered")).otherwise(F.col("secondary_covered"))
+    goals = sweep.select(*keys, "floor", F.when(F.col("feasible"), reached).otherwise(0.0)
+                         .cast("double").alias("reached"))
+    tags = goals.select(*keys)
+    cost = F.col("cost").cast("double") if "cost" in candidates.columns else F.lit(1.0)
+    plain = candidates.select(*by, F.col(key).alias("cell"), cost.alias("cost"),
+                              F.col(primary).cast("double").alias("_p"),
+                              F.col(secondary).cast("double").alias("_s"))
+    join = (lambda df: df.join(tags, list(by))) if by else (lambda df: df.join(F.broadcast(tags)))
+    cells = join(plain).select(*keys, "cell", "cost",
+                               F.when(forward, F.col("_p")).otherwise(F.col("_s")).alias("main"),
+                               F.when(forward, F.col("_s")).otherwise(F.col("_p")).alias("other"))
+    bound = coverage_bound(cells, join(coverage.select(*by, "candidate", "covered")), budget, keys,
+                           goals, steps)
+    return sweep.join(bound, keys).withColumn("gap", F.when(F.col("feasible"), F.when(
+        F.col("bound") > 0, 1.0 - reached / F.col("bound")).otherwise(0.0)))
+
+
 def selection_shortfall(heuristic: DataFrame, reference: DataFrame, by: Sequence[str],
                         objective: str) -> DataFrame:
     """(reference - heuristic) / reference per group, zero for an empty reference."""

@@ -26,11 +26,11 @@ def build_surface(targets: DataFrame, training: DataFrame, features: Sequence[st
                   estimator: D.Estimator, native: DataFrame, native_states: DataFrame,
                   county_totals: DataFrame, state_totals: DataFrame, penalties: DataFrame,
                   degraded_share: float, half_width: DataFrame | None = None,
-                  replicates: int = 20) -> tuple[DataFrame, DataFrame]:
+                  replicates: int = 40) -> tuple[DataFrame, DataFrame]:
     """(surface, totals): fit, predict, bind, reconcile, score, tier.
 
-    ``keys`` names the (area, county, state) columns. The prediction interval is
-    bootstrapped unless ``half_width(area, half_width)`` is supplied.
+    ``keys`` names the (area, county, state) columns. The prediction interval is that of
+    ridges refitted to resampled areas, unless ``half_width(area, half_width)`` is supplied.
     """
     area, county, state = keys
     predict = D.fit_counts(estimator, training, features, count, exposure)
@@ -41,7 +41,7 @@ def build_surface(targets: DataFrame, training: DataFrame, features: Sequence[st
     done = RC.proportional_scale(bound, "constraint", "raw", totals.select(
         "constraint", "total"))
     spread = half_width if half_width is not None else D.bootstrap_spread(
-        training, targets, features, count, exposure, estimator, area, replicates)
+        training, targets, features, count, exposure, area, replicates)
     scored = done.join(spread.select(area, "half_width"), area, "left").join(
         penalties.select("grain", "base"), "grain", "left")
     scored = U.mahalanobis_percentile(training, scored, features, area)

@@ -153,28 +153,64 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("boosted_rate")
 def _(spark: SparkSession, d: str) -> DataFrame:
     a = areas(spark, d)
-    return D.fit_counts(D.boosted_rate(8, 3, 0.1), a, ["x1", "x2"], "cnt", "hh")(a).select(
+    return D.fit_counts(D.boosted_rate(), a, ["x1", "x2"], "cnt", "hh")(a).select(
         "id", "predicted")
 
 
+# a single split in closed form: the score of a side moves by step * (its counts / fitted - 1)
+@query("boosted_rate_indicator", f"""
+WITH RECURSIVE {_AREAS}, side AS (SELECT g % 2 AS b, sum(cnt) AS c, sum(hh) AS e FROM areas GROUP BY 1),
+boost(b, i, f) AS (SELECT b, 0, (SELECT ln(sum(c) / sum(e)) FROM side) FROM side
+  UNION ALL SELECT boost.b, i + 1, f + 0.06e0 * (c / (e * exp(f)) - 1) FROM boost JOIN side ON side.b = boost.b WHERE i < 200)
+SELECT id, round(exp(f) * hh, 5) AS predicted FROM areas JOIN boost ON b = g % 2 AND i = 200""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    a = areas(spark, d).withColumn("odd", (F.col("g") % 2).cast("double"))
+    return D.fit_counts(D.boosted_rate(), a, ["odd"], "cnt", "hh")(a).select(
+        "id", F.round("predicted", 5).alias("predicted"))
+
+
 _ST_RIDGE = _RIDGE.replace("SELECT g AS held", "SELECT st AS held")
+
+
+def _poisson_folds(steps: int) -> str:
+    """Reweighted least squares of every fold, one common table a step."""
+    parts = ["""p0 AS MATERIALIZED (SELECT held, ln(sum(cnt) / sum(hh)) AS b0, 0.0e0 AS b1,
+  1e-6 * sum(hh) * var_pop(x1) AS pen FROM areas, (SELECT DISTINCT st AS held FROM areas) h WHERE st <> held GROUP BY 1)"""]
+    for i in range(steps):
+        parts.append(f"""p{i + 1} AS MATERIALIZED (SELECT held, (t0 - s1 * (s0 * t1 - s1 * t0) / (s0 * s2 - s1 * s1)) / s0 AS b0,
+  (s0 * t1 - s1 * t0) / (s0 * s2 - s1 * s1) AS b1, pen FROM (
+  SELECT held, any_value(pen) AS pen, sum(w) AS s0, sum(w * x1) AS s1, sum(w * x1 * x1) + any_value(pen) AS s2,
+    sum(w * (eta - 1) + cnt) AS t0, sum((w * (eta - 1) + cnt) * x1) AS t1
+  FROM (SELECT held, pen, x1, cnt, b0 + b1 * x1 AS eta, hh * exp(b0 + b1 * x1) AS w FROM p{i} JOIN areas ON st <> held)
+  GROUP BY 1))""")
+    return ",\n".join(parts)
+
+
 _LOGO = f"""{_ST_RIDGE},
-hat AS (SELECT id, st, cnt, {_RIDGE_HAT} AS p FROM areas JOIN b ON held = st),
+{_poisson_folds(12)},
+rest AS (SELECT held, sum(cnt) / sum(hh) AS rate FROM areas JOIN (SELECT DISTINCT st AS held FROM areas) h ON st <> held GROUP BY 1),
+hat AS (SELECT 'ridge_log_rate' AS estimator, st, cnt, {_RIDGE_HAT} AS p FROM areas JOIN b ON held = st
+  UNION ALL SELECT 'poisson_glm', st, cnt, exp(b0 + b1 * x1) * hh FROM areas JOIN p12 ON held = st
+  UNION ALL SELECT 'exposure_share', st, cnt, rate * hh FROM areas JOIN rest ON held = st),
 tot AS (SELECT st, sum(cnt) + 10 AS t FROM areas GROUP BY 1),
-modes AS (SELECT st, cnt, 'raw' AS mode, p FROM hat
-         UNION ALL SELECT st, cnt, 'reconciled', p * t / sum(p) OVER (PARTITION BY st) FROM hat JOIN tot USING (st)),
-sc AS (SELECT 'ridge_log_rate' AS estimator, st, mode, sum(abs(cnt - p)) / sum(cnt) AS wape, avg(abs(cnt - p)) AS mae,
-  sum(cnt) AS total FROM modes GROUP BY 2, 3)"""
+modes AS (SELECT estimator, st, cnt, 'raw' AS mode, p FROM hat
+         UNION ALL SELECT estimator, st, cnt, 'reconciled', p * t / sum(p) OVER (PARTITION BY estimator, st) FROM hat JOIN tot USING (st)),
+sc AS (SELECT estimator, st, mode, sum(abs(cnt - p)) / sum(cnt) AS wape, avg(abs(cnt - p)) AS mae,
+  sum(cnt) AS total FROM modes GROUP BY 1, 2, 3)"""
+
+
+def fold_scores(spark: SparkSession, d: str) -> DataFrame:
+    a = areas(spark, d)
+    tot = a.groupBy("st").agg((F.sum("cnt") + 10).alias("total"))
+    return D.leave_one_group_out(a, "st", ["x1"], "cnt", "hh", [
+        D.baseline_rate(), D.ridge_log_rate(), D.poisson_rate()], tot)
 
 
 @query("leave_one_group_out", f"""
 WITH {_LOGO} SELECT estimator, st, mode, round(wape, 5) AS wape, round(mae, 5) AS mae FROM sc""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    a = areas(spark, d)
-    tot = a.groupBy("st").agg((F.sum("cnt") + 10).alias("total"))
-    s = D.leave_one_group_out(a, "st", ["x1"], "cnt", "hh", [D.ridge_log_rate()], tot)
-    return s.select("estimator", "st", "mode", F.round("wape", 5).alias("wape"),
-                    F.round("mae", 5).alias("mae"))
+    return fold_scores(spark, d).select("estimator", "st", "mode", F.round("wape", 5).alias("wape"),
+                                        F.round("mae", 5).alias("mae"))
 
 
 _BASE = f"""{_AREAS},
@@ -202,11 +238,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("aggregate_excluding", f"""
-WITH {_BASE} SELECT estimator, mode, round(sum(wape * total) / sum(total), 6) AS wape_all,
-  round(sum(CASE WHEN g NOT IN (1, 2) THEN wape * total END) / sum(CASE WHEN g NOT IN (1, 2) THEN total END), 6) AS wape_kept
-FROM sc GROUP BY 1, 2""")
+WITH {_LOGO}, ag AS (SELECT estimator, mode, sum(wape * total) / sum(total) AS wape_all,
+  sum(CASE WHEN st <> 1 THEN wape * total END) / sum(CASE WHEN st <> 1 THEN total END) AS wape_kept FROM sc GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY wape_all, estimator) AS ra,
+  row_number() OVER (PARTITION BY mode ORDER BY wape_kept, estimator) AS rk FROM ag)
+SELECT estimator, mode, round(wape_all, 6) AS wape_all, round(wape_kept, 6) AS wape_kept, CAST(ra AS INTEGER) AS rank_all,
+  CAST(rk AS INTEGER) AS rank_kept, max(ra <> rk) OVER (PARTITION BY mode) AS order_changes FROM rk""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return publish_round(D.aggregate_excluding(baseline_scores(spark, d), "g", ["1", "2"]),
+    return publish_round(D.aggregate_excluding(fold_scores(spark, d), "st", ["1"]),
                          {"wape_all": 6, "wape_kept": 6})
 
 
@@ -245,16 +284,57 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return done.select("id", F.round("reconciled", 5).alias("reconciled"))
 
 
-@query("supply_ablation")
+def _ridge_two(sets: str, extra: bool) -> str:
+    """SQL for (held, b0, b1, b2) of the ridge on x1, and on x2 too where ``extra``; ``sets`` gives
+    the pairs (held, training row)."""
+    x2 = "x2" if extra else "0.0e0"
+    return f"""SELECT held, ybar - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM (
+  SELECT held, ybar, m1, m2, (c1 * a22 - c2 * a12) / (a11 * a22 - a12 * a12) AS b1,
+         (c2 * a11 - c1 * a12) / (a11 * a22 - a12 * a12) AS b2 FROM (
+    SELECT held, sum(hh * y) / sum(hh) AS ybar, sum(hh * x1) / sum(hh) AS m1, sum(hh * z) / sum(hh) AS m2,
+      sum(hh * x1 * x1) - sum(hh * x1) * sum(hh * x1) / sum(hh) + var_pop(x1) AS a11,
+      sum(hh * x1 * z) - sum(hh * x1) * sum(hh * z) / sum(hh) AS a12,
+      sum(hh * z * z) - sum(hh * z) * sum(hh * z) / sum(hh) + {'var_pop(z)' if extra else '1.0e0'} AS a22,
+      sum(hh * x1 * y) - sum(hh * x1) * sum(hh * y) / sum(hh) AS c1,
+      sum(hh * z * y) - sum(hh * z) * sum(hh * y) / sum(hh) AS c2
+    FROM (SELECT held, hh, x1, {x2} AS z, ln(cnt / hh + 1) AS y FROM {sets}) GROUP BY held))"""
+
+
+def _ablation(label: str, extra: bool) -> str:
+    line = "b0 + b1 * x1" + (" + b2 * x2" if extra else "")
+    folds = "areas JOIN (SELECT DISTINCT st AS held FROM areas) h ON st <> held"
+    whole = "(SELECT -1 AS held, * FROM areas)"
+    hat = f"greatest(0.0e0, exp({line}) - 1) * hh"
+    return f"""SELECT '{label}' AS features, round(weighted_wape, 5) AS weighted_wape, round(in_sample_wape, 5) AS in_sample_wape
+  FROM (SELECT sum(abs(cnt - {hat})) / sum(cnt) AS weighted_wape FROM areas JOIN ({_ridge_two(folds, extra)}) ON held = st),
+       (SELECT sum(abs(cnt - {hat})) / sum(cnt) AS in_sample_wape FROM areas, ({_ridge_two(whole, extra)}))"""
+
+
+# errors weighted by counts add up to the error of all rows together
+@query("supply_ablation", f"""
+WITH {_AREAS} {_ablation('without', False)} UNION ALL {_ablation('with', True)}""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return D.supply_ablation(areas(spark, d), "st", ["x1"], ["x2"], "cnt", "hh",
+    done = D.supply_ablation(areas(spark, d), "st", ["x1"], ["x2"], "cnt", "hh",
                              D.ridge_log_rate())
+    return publish_round(done, {"weighted_wape": 5, "in_sample_wape": 5})
 
 
-@query("bootstrap_spread")
+_TIMES = " + ".join(f"CASE WHEN u >= {p!r}e0 THEN 1 ELSE 0 END" for p in D._POISSON_STEPS)
+_BOOTSTRAP = f"""{_AREAS},
+dr AS (SELECT r, x1, hh, ln(cnt / hh + 1) AS y, CAST({_TIMES} AS DOUBLE) AS t FROM (
+  SELECT *, CAST('0x' || substr(md5('20260101:' || r || ':' || id), 1, 8) AS BIGINT) / 4294967296.0e0 AS u
+  FROM areas, range(40) AS q(r))),
+mo AS (SELECT r, sum(t * x1) / sum(t) AS m, sum(t * x1 * x1) / sum(t) AS q, sum(t * hh) AS w, sum(t * hh * x1) AS wx,
+  sum(t * hh * x1 * x1) AS wxx, sum(t * hh * y) AS wy, sum(t * hh * x1 * y) AS wxy FROM dr GROUP BY 1),
+fi AS (SELECT r, (wxy - wx * wy / w) / (wxx - wx * wx / w + q - m * m) AS b1, w, wx, wy FROM mo),
+pr AS (SELECT id, greatest(0.0e0, exp((wy - b1 * wx) / w + b1 * x1) - 1) * hh AS p FROM areas, fi)"""
+
+
+@query("bootstrap_spread", f"""
+WITH {_BOOTSTRAP} SELECT id, round((quantile_cont(p, 0.9) - quantile_cont(p, 0.1)) / 2, 6) AS half_width FROM pr GROUP BY 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     a = areas(spark, d)
-    return D.bootstrap_spread(a, a, ["x1"], "cnt", "hh", D.ridge_log_rate(), "id", 4)
+    return publish_round(D.bootstrap_spread(a, a, ["x1"], "cnt", "hh", "id"), {"half_width": 6})
 
 
 _MAHA = f"""{_AREAS},
@@ -374,30 +454,51 @@ def surface(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     pen = spark.createDataFrame(
         [("native_tract", 0.0), ("county_anchored", 0.18), ("state_total_only", 0.26)],
         "grain string, base double")
-    width = rows.select("area", (F.col("hh") / 50.0).alias("half_width"))
-    return SF.build_surface(rows.drop("cnt"), rows, ["x1", "x2"], "cnt", "hh",
-                            ("area", "county", "state"), D.poisson_rate(), native, states,
-                            county, state, pen, 0.1, width)
-
-
-@query("build_surface")
+    # the interval is bootstrapped from the training rows, named by their area
+    return SF.build_surface(rows.drop("cnt"), rows, ["x1"], "cnt", "hh",
+                            ("area", "county", "state"), D.ridge_log_rate(), native, states,
+                            county, state, pen, 0.1)
+
+
+_SURFACE = f"""{_RIDGE}, {_BOOTSTRAP.removeprefix(_AREAS + ",")},
+hw AS (SELECT id, (quantile_cont(p, 0.9) - quantile_cont(p, 0.1)) / 2 AS hw FROM pr GROUP BY 1),
+ct AS (SELECT g, st, sum(cnt) AS total FROM areas WHERE g % 4 = 0 GROUP BY 1, 2),
+su AS (SELECT st, sum(cnt) * 1.1e0 AS total, coalesce((SELECT sum(total) FROM ct WHERE ct.st = areas.st), 0) AS claimed FROM areas GROUP BY 1),
+bo AS (SELECT id, areas.g, areas.st, cnt, x1, {_RIDGE_HAT} AS raw,
+  CASE WHEN areas.st = 0 AND id % 3 = 0 THEN 'tract:' || id WHEN areas.st = 0 THEN 'zero:' || areas.st WHEN areas.g % 4 = 0 THEN 'county:' || areas.g
+    ELSE 'residual:' || areas.st END AS con,
+  CASE WHEN areas.st = 0 THEN 'native_tract' WHEN areas.g % 4 = 0 THEN 'county_anchored' ELSE 'state_total_only' END AS grain,
+  CASE WHEN areas.st = 0 AND id % 3 = 0 THEN 'native_registry_observed_count' WHEN areas.st = 0 THEN 'native_registry_zero_by_absence' ELSE 'modeled_reconciled' END AS prov,
+  CASE WHEN areas.st = 0 AND id % 3 = 0 THEN cnt WHEN areas.st = 0 THEN 0 WHEN areas.g % 4 = 0 THEN ct.total ELSE su.total - claimed END AS total
+  FROM areas JOIN b ON held = -1 LEFT JOIN ct ON ct.g = areas.g LEFT JOIN su ON su.st = areas.st),
+re AS (SELECT *, CASE WHEN sum(raw) OVER (PARTITION BY con) > 0 THEN raw * (total / sum(raw) OVER (PARTITION BY con))
+    ELSE total / count(*) OVER (PARTITION BY con) END AS rec,
+  (row_number() OVER (ORDER BY abs(x1 - (SELECT avg(x1) FROM areas)), id) - 0.5e0) / count(*) OVER () AS ood FROM bo),
+scored AS (SELECT re.*, 0.2e0 * (least(1.0e0, greatest(0.0e0, hw / (hw + greatest(raw, 1.0e0)))) + ood
+    + least(1.0e0, abs(rec - raw) / (rec + raw + 1)) + CASE grain WHEN 'native_tract' THEN 0.0e0 WHEN 'county_anchored' THEN 0.18e0 ELSE 0.26e0 END + 0.1e0) AS score
+  FROM re JOIN hw USING (id)),
+surf AS (SELECT *, CASE WHEN grain <> 'state_total_only' THEN 'A' WHEN score >= (SELECT quantile_cont(score, 0.75) FROM scored WHERE grain = 'state_total_only')
+    THEN 'C' ELSE 'B' END AS tier FROM scored)"""
+
+
+@query("build_surface", f"""
+WITH {_SURFACE} SELECT id AS area, con AS "constraint", grain, round(rec, 5) AS reconciled, round(score, 6) AS uncertainty_score,
+  tier, prov AS provenance FROM surf""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     s, _totals = surface(spark, d)
-    return s.select("area", "constraint", "grain", "reconciled", "uncertainty_score", "tier",
-                    "provenance")
+    return publish_round(s.select("area", "constraint", "grain", "reconciled", "uncertainty_score",
+                                  "tier", "provenance"), {"reconciled": 5, "uncertainty_score": 6})
 
 
 @query("surface_summary", f"""
-WITH {_AREAS}, t AS (SELECT CASE WHEN st = 0 THEN 'native_tract' WHEN g % 4 = 0 THEN 'county_anchored' ELSE 'state_total_only' END AS grain,
-  CASE WHEN st = 0 AND id % 3 = 0 THEN 'native_registry_observed_count' WHEN st = 0 THEN 'native_registry_zero_by_absence' ELSE 'modeled_reconciled' END AS provenance
-  FROM areas)
-SELECT 'grain' AS dimension, grain AS category, CAST(count(*) AS BIGINT) AS rows FROM t GROUP BY 2
-UNION ALL SELECT 'provenance', provenance, CAST(count(*) AS BIGINT) FROM t GROUP BY 2
-UNION ALL SELECT 'all', 'all', CAST(count(*) AS BIGINT) FROM t""")
+WITH {_SURFACE}, l AS (SELECT 'grain' AS dimension, grain AS category, rec, score FROM surf
+  UNION ALL SELECT 'tier', tier, rec, score FROM surf UNION ALL SELECT 'provenance', prov, rec, score FROM surf
+  UNION ALL SELECT 'all', 'all', rec, score FROM surf)
+SELECT dimension, category, CAST(count(*) AS BIGINT) AS rows, round(sum(rec), 4) AS total, round(avg(score), 6) AS mean_uncertainty
+FROM l GROUP BY 1, 2""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     s, _totals = surface(spark, d)
-    return SF.surface_summary(s).where("dimension <> 'tier'").select(
-        "dimension", "category", "rows")
+    return publish_round(SF.surface_summary(s), {"total": 4, "mean_uncertainty": 6})
 
 
 @query("evidence_summary", f"""
@@ -474,9 +575,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
                                            "1998-01-01"), {"share_inside": 6})
 
 
-@query("random_baseline")
+@query("random_baseline", f"""
+WITH {_BACK}, sd AS (SELECT 1998 AS s UNION ALL SELECT 1998 * 100003 + i FROM range(200) t(i)),
+gr AS (SELECT sup.cell, coalesce(stations, 0) AS w, substr(md5(CAST(sup.cell AS VARCHAR)), 1, 3) AS g FROM sup LEFT JOIN dep ON dep.cell = sup.cell),
+ra AS (SELECT s, w, row_number() OVER (PARTITION BY s ORDER BY substr(md5(s || ':' || g), 1, 13), g, substr(md5(s || ':' || cell), 1, 13), cell) AS r FROM gr, sd),
+cp AS (SELECT s, sum(CASE WHEN r <= (SELECT round_even(count(*) * 0.1e0, 0) FROM sup) THEN w ELSE 0 END) / CAST((SELECT sum(stations) FROM dep) AS DOUBLE) AS c FROM ra GROUP BY 1),
+one AS (SELECT c AS v FROM cp WHERE s = 1998)
+SELECT CAST(count(*) AS BIGINT) AS draws, round(avg(c), 9) AS mean, round(stddev_pop(c), 9) AS standard_deviation, round(quantile_cont(c, 0.05), 9) AS p5,
+  round(quantile_cont(c, 0.95), 9) AS p95, round(max(v), 9) AS single_draw, round(avg(CASE WHEN c < v THEN 1.0e0 ELSE 0.0e0 END), 9) AS single_draw_percentile
+FROM cp, one WHERE s <> 1998""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     cells, dep = backtest_inputs(spark, d)
     targets = dep.where(W.event_window("opened", "1998-01-01", 24)).groupBy("cell").agg(
         F.sum("stations").cast("double").alias("stations"))
-    return W.random_baseline(cells.where("population >= 1"), targets, "cell", "stations", 1998)
+    drawn = W.random_baseline(cells.where("population >= 1"), targets, "cell", "stations", 1998)
+    return publish_round(drawn, {c: 9 for c in drawn.columns if c != "draws"})

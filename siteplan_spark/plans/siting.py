@@ -64,15 +64,15 @@ def problem(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return c, ST.coverage_edges(c, LEVEL, 1, by=["region"])
 
 
-def greedy_sql(steps: int, value: str = "demand", extra: str = "") -> str:
+def greedy_sql(steps: int, value: str = "demand", extra: str = "", edge: str = "edge") -> str:
     """The greedy rule unrolled: one common table per step."""
     parts = [f"{_CELLS}{extra}", "cov0 AS (SELECT region, cell AS covered FROM cand LIMIT 0)"]
     for i in range(1, steps + 1):
         parts.append(f"""pick{i} AS (SELECT region, arg_min(candidate, (-g, candidate)) AS candidate, max(g) AS gain FROM (
-  SELECT e.region, e.candidate, round(CAST(sum({value}) AS DOUBLE), 9) AS g FROM edge e
+  SELECT e.region, e.candidate, CAST(sum(CAST({value} AS DECIMAL(38,18))) AS DOUBLE) AS g FROM {edge} e
   WHERE NOT EXISTS (SELECT 1 FROM cov{i - 1} c WHERE c.region = e.region AND c.covered = e.covered)
   GROUP BY 1, 2) GROUP BY 1)""")
-        parts.append(f"""cov{i} AS (SELECT * FROM cov{i - 1} UNION SELECT e.region, e.covered FROM edge e
+        parts.append(f"""cov{i} AS (SELECT * FROM cov{i - 1} UNION SELECT e.region, e.covered FROM {edge} e
   JOIN pick{i} p ON p.region = e.region AND p.candidate = e.candidate)""")
     picks = " UNION ALL ".join(
         f"SELECT region, CAST({i} AS INTEGER) AS step, candidate, gain FROM pick{i} WHERE gain > 0"
@@ -118,10 +118,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("greedy_distributed_rounds", f"""
-WITH {greedy_sql(2)} SELECT region, step, candidate, gain FROM sel""")
+WITH {greedy_sql(8)} SELECT region, step, candidate, gain FROM sel""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    # the path taken when a group is too large for one task
-    return selection(spark, d, *problem(spark, d), budget=2, group_limit=0)
+    # a budget of several rounds
+    return selection(spark, d, *problem(spark, d), budget=8)
 
 
 _SCORES = f"""{_GREEDY},
@@ -158,18 +158,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("baseline_portfolios", f"""
 WITH {_CELLS}, l AS (SELECT 'baseline_population_weighted' AS portfolio, region, cell, population AS v FROM cand
   UNION ALL SELECT 'baseline_demand_only', region, cell, demand FROM cand
-  UNION ALL SELECT 'baseline_existing_network_proximity', region, cell, existing_ports FROM cand)
+  UNION ALL SELECT 'baseline_existing_network_proximity', region, cell, existing_ports FROM cand
+  UNION ALL SELECT 'baseline_random', region, cell, CAST('0x' || substr(md5('7:' || cell), 1, 13) AS BIGINT) FROM cand)
 SELECT portfolio, region, cell AS candidate FROM (SELECT *, row_number() OVER (PARTITION BY portfolio, region ORDER BY v DESC, cell) AS rn FROM l)
 WHERE rn <= 4""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    b = ST.baseline_portfolios(candidates(spark, d), 4, ["region"], 7)
-    return b.where("portfolio <> 'baseline_random'")
+    return ST.baseline_portfolios(candidates(spark, d), 4, ["region"], 7)
 
 
 _CROSS = f"""{_GREEDY},
 l AS (SELECT 'baseline_population_weighted' AS portfolio, region, cell, population AS v FROM cand
   UNION ALL SELECT 'baseline_demand_only', region, cell, demand FROM cand
-  UNION ALL SELECT 'baseline_existing_network_proximity', region, cell, existing_ports FROM cand),
+  UNION ALL SELECT 'baseline_existing_network_proximity', region, cell, existing_ports FROM cand
+  UNION ALL SELECT 'baseline_random', region, cell, CAST('0x' || substr(md5('7:' || cell), 1, 13) AS BIGINT) FROM cand),
 pf AS (SELECT portfolio, region, cell AS candidate FROM (SELECT *, row_number() OVER (PARTITION BY portfolio, region ORDER BY v DESC, cell) AS rn FROM l) WHERE rn <= 4
   UNION ALL SELECT 'greedy', region, candidate FROM sel),
 cv AS (SELECT DISTINCT portfolio, e.region, e.covered, demand, population, equity_population, existing_ports
@@ -187,7 +188,7 @@ rel AS (SELECT *, CASE WHEN max(score) OVER w > 0 THEN score / max(score) OVER w
 
 def cross_table(spark: SparkSession, d: str) -> DataFrame:
     c, e = problem(spark, d)
-    base = ST.baseline_portfolios(c, 4, ["region"], 7).where("portfolio <> 'baseline_random'")
+    base = ST.baseline_portfolios(c, 4, ["region"], 7)
     mine = selection(spark, d, c, e).select(F.lit("greedy").alias("portfolio"), "region",
                                             "candidate")
     return ST.cross_objective_table(mine.unionByName(base), c, e, ["region"])
@@ -214,12 +215,35 @@ def _(spark: SparkSession, d: str) -> DataFrame:
                          {"shortfall": 6})
 
 
-@query("epsilon_sweep")
+_SPREAD = """,
+tot AS (SELECT region, sum(demand) AS ps, sum(equity_population) AS ss FROM cand GROUP BY 1),
+wide AS (SELECT e.region * 100 + s * 10 + i AS region, candidate, covered, demand, equity_population,
+  CASE WHEN s = 0 THEN CASE WHEN ps > 0 THEN demand / CAST(ps AS DOUBLE) ELSE 0 END ELSE CASE WHEN ss > 0 THEN equity_population / CAST(ss AS DOUBLE) ELSE 0 END END * (1.0e0 - i / 4.0e0)
+  + CASE WHEN s = 1 THEN CASE WHEN ps > 0 THEN demand / CAST(ps AS DOUBLE) ELSE 0 END ELSE CASE WHEN ss > 0 THEN equity_population / CAST(ss AS DOUBLE) ELSE 0 END END * (i / 4.0e0) AS v
+  FROM edge e JOIN tot USING (region), range(2) a(s), range(5) b(i))"""
+
+
+@query("epsilon_sweep", f"""
+WITH {greedy_sql(4, 'v', _SPREAD, 'wide')},
+cv AS (SELECT DISTINCT w.region, w.covered, demand, equity_population FROM wide w JOIN sel USING (region, candidate)),
+ag AS (SELECT region // 100 AS region, region // 10 % 10 AS s, region % 10 AS level, sum(demand) AS pc, sum(equity_population) AS sc FROM cv GROUP BY ALL),
+fl AS (SELECT *, CASE WHEN s = 0 THEN sc ELSE pc END AS f FROM ag),
+tp AS (SELECT region, s, f AS ceiling FROM fl WHERE level = 4)
+SELECT CAST(region AS INTEGER) AS region, CASE WHEN s = 0 THEN 'primary' ELSE 'secondary' END AS sense, CAST(level AS INTEGER) AS level, CAST(pc AS BIGINT) AS primary_covered,
+  CAST(sc AS BIGINT) AS secondary_covered, CAST(ceiling AS BIGINT) AS ceiling, level / 4.0e0 AS epsilon, level / 4.0e0 * ceiling AS floor, f >= level / 4.0e0 * ceiling - 1e-9 AS feasible
+FROM fl JOIN tp USING (region, s)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     c, e = problem(spark, d)
     return ST.epsilon_sweep(c, e, 4, "demand", "equity_population", 5, ["region"])
 
 
+@query("epsilon_gaps")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c, e = problem(spark, d)
+    sweep = ST.epsilon_sweep(c, e, 4, "demand", "equity_population", 5, ["region"])
+    return ST.with_gaps(sweep, c, e, 4, "demand", "equity_population", ["region"])
+
+
 def _scaled_pick(scale: str) -> str:
     return (f"SELECT candidate FROM (WITH {greedy_sql(4, f'demand * {scale}')} "
             "SELECT * FROM sel) WHERE region = 1")
