@@ -3,11 +3,14 @@
 Features are cut into bins once. Rows with the same bins, and so the same prediction for ever,
 collapse to one cell with its weights and counts. Each level of a tree is one aggregate: gradient,
 hessian and row count for each (node, feature, bin). The driver sees only these sums, whose number
-does not depend on the rows, picks the splits and sends the tree with the next pass.
+does not depend on the rows, picks the splits and sends the tree with the next pass. Few features
+have few cells, however many rows there are; cells that fill less than one task grow their trees
+there by the same rule, since there is nothing to add up.
 """
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -122,31 +125,60 @@ def _score_pass(width: int, start: float, trees: Sequence[Tree]):
     return run
 
 
+def _add_histogram(total: np.ndarray, bins: np.ndarray, w: np.ndarray, wy: np.ndarray,
+                   n: np.ndarray, score: np.ndarray, growing: Tree, opened: Sequence[int],
+                   slots: int) -> None:
+    """Add gradient, hessian and rows of each (open node, feature, bin) to ``total``."""
+    place = np.full(len(growing.feature), -1)
+    place[list(opened)] = np.arange(len(opened))
+    at = place[growing.leaf_of(bins)]
+    keep = at >= 0
+    h = w * np.exp(score)
+    width = bins.shape[1]
+    for f in range(width):
+        cell = ((at * width + f) * slots + bins[:, f])[keep]
+        for i, v in enumerate((h - wy, h, n)):
+            total[i] += np.bincount(cell, v[keep], total.shape[1])
+
+
 def _histogram_pass(width: int, slots: int, trees: Sequence[Tree], growing: Tree,
-                    open_nodes: Sequence[int]):
-    """(node, feature, bin, g, h, n) summed inside each task."""
+                    opened: Sequence[int]):
+    """(cell of node, feature and bin, g, h, n) summed inside each task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(len(growing.feature), -1)
-        place[list(open_nodes)] = np.arange(len(open_nodes))
-        total = np.zeros((3, len(open_nodes) * width * slots))
+        total = np.zeros((3, len(opened) * width * slots))
         for b in batches:
             bins = _matrix(b.column(0), width)
             w, wy, n, score = (b.column(i).to_numpy() for i in range(1, 5))
             for t in trees:
                 score = score + t.value[t.leaf_of(bins)]
-            at = place[growing.leaf_of(bins)]
-            keep = at >= 0
-            h = w * np.exp(score)
-            for f in range(width):
-                cell = ((at * width + f) * slots + bins[:, f])[keep]
-                for i, v in enumerate((h - wy, h, n)):
-                    total[i] += np.bincount(cell, v[keep], total.shape[1])
+            _add_histogram(total, bins, w, wy, n, score, growing, opened, slots)
         full = np.flatnonzero(total[2])
         yield pa.record_batch([pa.array(full), *[pa.array(t[full]) for t in total]],
                               names=["cell", "g", "h", "n"])
     return run
 
 
+def _tree_pass(width: int, slots: int, rounds: int, depth: int, step: float):
+    """The next trees, grown where all cells are in one task and no sums have to meet."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        bins = np.concatenate([_matrix(b.column(0), width) for b in got])
+        w, wy, n, score = (np.concatenate([b.column(i).to_numpy() for b in got])
+                           for i in range(1, 5))
+
+        def histograms(growing: Tree, opened: list[int]) -> np.ndarray:
+            total = np.zeros((3, len(opened) * width * slots))
+            _add_histogram(total, bins, w, wy, n, score, growing, opened, slots)
+            return total.reshape(3, len(opened), width, slots).swapaxes(0, 1)
+
+        for i in range(rounds):
+            t = grow_tree(histograms, depth, step)
+            score = score + t.value[t.leaf_of(bins)]
+            yield pa.record_batch([pa.array([i]), pa.array([pickle.dumps(
+                (t.feature, t.cut, t.left, t.value))])], names=["i", "tree"])
+    return run
+
+
 def _best_split(hist: np.ndarray) -> tuple[float, int, int, np.ndarray] | None:
     """(gain, feature, last bin on the left, sums on the left) of one node, from (3, features,
     bins). Gains within a billionth are ties: the first feature and bin win."""
@@ -239,17 +271,23 @@ def fit_boosted_rate(rows: DataFrame, features: Sequence[str], rate: str, exposu
         sums = made.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"),
                                         F.sum("n").alias("n"))
         # nodes x features x bins, whatever the number of rows
-        got = (sums if parts > 1 else made).toArrow()
+        got = sums.toArrow()
         out = np.zeros((3, len(opened) * width * slots))
         for i, name in enumerate("ghn"):
             out[i, got["cell"].to_numpy()] = got[name].to_numpy()
         return out.reshape(3, len(opened), width, slots).swapaxes(0, 1)
 
-    for _ in range(iterations):
-        tree = grow_tree(histograms, depth, step)
-        trees.append(tree)
-        fresh.append(tree)
-        if len(fresh) == REPLAY:
+    while len(trees) < iterations:
+        if parts == 1:
+            rounds = min(REPLAY, iterations - len(trees))
+            grown = state.coalesce(1).mapInArrow(_tree_pass(width, slots, rounds, depth, step),
+                                                 "i long, tree binary").orderBy("i").collect()
+            fresh += [Tree(*pickle.loads(r["tree"])) for r in grown]
+            trees += fresh
+        else:
+            trees.append(grow_tree(histograms, depth, step))
+            fresh.append(trees[-1])
+        if len(fresh) >= REPLAY and len(trees) < iterations:
             state = cut_lineage(state.coalesce(parts).mapInArrow(
                 _score_pass(width, 0.0, list(fresh)), schema))
             fresh.clear()

@@ -12,12 +12,7 @@ from pyspark.sql import functions as F
 from siteplan_spark.functions.clean import is_saturated
 from siteplan_spark.functions.geo import k_ring
 from siteplan_spark.operators.ledger import Rule, classify_first_match, exclusion_ledger
-from siteplan_spark.operators.ranking import (
-    jaccard,
-    random_order,
-    relative_to_best,
-    top_k_per_group,
-)
+from siteplan_spark.operators.ranking import random_order, relative_to_best, top_k_per_group
 from siteplan_spark.session import cut_lineage
 
 # The objectives every portfolio is scored on.
@@ -65,12 +60,12 @@ def coverage_edges(candidates: DataFrame, level: int, k: int = 1, cell: str = "c
     return reach.join(have, [*by, "covered"], "left_semi")
 
 
-#: Values are added up as decimals with this many digits after the point, so the order of a sum
-#: decides nothing.
-VALUE_DIGITS = 18
+#: Values are exact decimals with this many digits after the point: neither the order of a sum nor
+#: a last bit decides a tie.
+VALUE_DIGITS = 12
 
 
-def _rounds(links: DataFrame, keys: list[str], spent: DataFrame, budget: float,
+def _rounds(links: DataFrame, keys: list[str], spent: DataFrame | None, budget: float,
             most: int | None) -> DataFrame:
     """(keys, candidate, score, cost, total): what greedy picks before its first pick over budget.
 
@@ -107,7 +102,9 @@ def _rounds(links: DataFrame, keys: list[str], spent: DataFrame, budget: float,
         if most is not None:  # more picks than this cost more than the budget
             all_picks = all_picks.withColumn("_k", F.row_number().over(w)).where(
                 F.col("_k") <= most + 1).drop("_k")
-        placed = all_picks.join(spent, keys, "left").withColumn(
+        so_far = (all_picks.withColumn("_spent", F.lit(0.0)) if spent is None
+                  else all_picks.join(spent, keys, "left"))
+        placed = so_far.withColumn(
             "total", F.coalesce("_spent", F.lit(0.0)) + F.sum("cost").over(w)).drop("_spent")
         over = F.min(F.when(F.col("total") > budget, F.struct(
             (-F.col("score")).alias("s"), "candidate")))
@@ -134,33 +131,36 @@ def greedy_max_coverage(candidates: DataFrame, coverage: DataFrame, budget: floa
     whole = [] if by else [F.lit(1).alias("_all")]
     score = reduce(lambda a, b: a + b, [
         F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * float(w) for c, w in weights.items()])
-    cand = cut_lineage(candidates.select(
+    cand = candidates.select(
         *by, *whole, F.col(key).alias("candidate"),
         score.cast(f"decimal(38,{VALUE_DIGITS})").alias("value"),
-        (F.col(cost).cast("double") if cost else F.lit(1.0)).alias("cost")))
+        (F.col(cost).cast("double") if cost else F.lit(1.0)).alias("cost"))
     edges = coverage.select(*by, *whole, "candidate", "covered").distinct()
     value = cand.select(*keys, F.col("candidate").alias("covered"), "value")
     links = cut_lineage(edges.join(cand.select(*keys, "candidate", "cost").where(
         F.col("cost") <= budget), [*keys, "candidate"]).join(value, [*keys, "covered"]).where(
         "value <> 0"))
-    least = cand.agg(F.min("cost")).first()[0]
+    least, largest = links.agg(F.min("cost"), F.max("cost")).first()
     most = int(budget // least) if least and least > 0 else None
-    kind = {c: links.schema[c].dataType.simpleString() for c in [*keys, "candidate"]}
-    spark = candidates.sparkSession
-    spent = spark.createDataFrame([], ", ".join([*[f"`{c}` {kind[c]}" for c in keys],
-                                                 "_spent double"]))
-    chosen = []
+    spent, chosen = None, []
     for phase in count():
         picks = _rounds(links, keys, spent, budget, most)
-        kept = cut_lineage(picks.join(
-            picks.where(F.col("total") > budget).groupBy(*keys).agg(F.min("total").alias("_over")),
-            keys, "left").where(F.col("_over").isNull() | (F.col("total") < F.col("_over")))
-            .drop("_over").withColumn("phase", F.lit(phase)))
+        over = Window.partitionBy(*keys)  # no more picks than the budget holds, and one
+        kept = picks.withColumn("_over", F.min(F.when(F.col("total") > budget, F.col("total")))
+                                .over(over)).where(
+            F.col("_over").isNull() | (F.col("total") < F.col("_over"))).drop("_over").withColumn(
+            "phase", F.lit(phase))
         chosen.append(kept)
+        # where all cost the same, a pick that does not fit leaves none that does
+        if least == largest:
+            break
+        kept = chosen[-1] = cut_lineage(kept)
         cut = picks.where(F.col("total") > budget).select(*keys).distinct()
         paid = kept.groupBy(*keys).agg(F.max("total").alias("_paid"))
-        spent = cut_lineage(spent.join(paid, keys, "full").select(
-            *keys, F.coalesce("_paid", "_spent").alias("_spent")))
+        if spent is not None:
+            paid = spent.join(paid, keys, "full").select(
+                *keys, F.coalesce("_paid", "_spent").alias("_paid"))
+        spent = cut_lineage(paid.withColumnRenamed("_paid", "_spent"))
         # only groups that met a pick over budget have anything left to do
         mine = links.join(kept.select(*keys, "candidate"), [*keys, "candidate"], "left_semi")
         links = cut_lineage(
@@ -385,24 +385,37 @@ def selection_shortfall(heuristic: DataFrame, reference: DataFrame, by: Sequence
         / F.col("reference")).otherwise(0.0))
 
 
-def perturbation_overlap(candidates: DataFrame, coverage: DataFrame, budget: float,
-                         demand: str, total: float, half_width: float,
-                         key: str = "cell") -> DataFrame:
-    """Selections with the total moved by its rounding half-width, compared by Jaccard."""
-    scales = {"base": 1.0, "low": (total - half_width) / total,
-              "high": (total + half_width) / total}
-    names = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(v).alias("_scale"))
-                      for n, v in scales.items()])
-    # the scenarios are independent groups of one run
-    cand = candidates.select("*", F.inline(names)).withColumn(
-        "_d", F.col(demand) * F.col("_scale"))
-    edges = coverage.select("*", F.inline(names)).drop("_scale")
-    picks = cut_lineage(greedy_max_coverage(cand, edges, budget, {"_d": 1.0}, ["scenario"],
-                                            key=key).select("scenario", "candidate"))
-    base = picks.where("scenario = 'base'")
-    parts = [jaccard(base, picks.where(F.col("scenario") == n), "candidate").select(
-        F.lit(n).alias("scenario"), "jaccard") for n in scales if n != "base"]
-    return reduce(DataFrame.unionByName, parts)
+def perturbation_overlap(cells: DataFrame, scales: Mapping[str, float], budget: float,
+                         saturation: float, level: int, road: DataFrame | None = None,
+                         by: Sequence[str] = (), k: int = 1, key: str = "cell") -> DataFrame:
+    """(by, scenario, jaccard): how much of the base selection survives a scaled demand.
+
+    Each scenario rebuilds its candidates from the cells, because the saturation limit depends on
+    demand, and is solved as a group of one greedy run. Two empty selections are alike.
+    """
+    names = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(float(v)).alias("_scale"))
+                      for n, v in {"base": 1.0, **scales}.items()])
+    scaled = cells.select("*", F.inline(names)).withColumn(
+        "demand", F.col("demand") * F.col("_scale")).drop("_scale")
+    keys = [*by, "scenario"]
+    kept = cut_lineage(build_candidates(scaled, saturation, road, key=[*by, key])[0])
+    picks = greedy_max_coverage(kept, coverage_edges(kept, level, k, key, keys), budget,
+                                {"demand": 1.0}, keys, key=key)
+    has = {n: F.max(F.when(F.col("scenario") == n, 1).otherwise(0)) for n in ["base", *scales]}
+    sets = picks.groupBy(*by, "candidate").agg(*[c.alias(f"_in_{n}") for n, c in has.items()])
+    overlap = [F.struct(
+        F.lit(n).alias("scenario"),
+        F.sum(F.col("_in_base") * F.col(f"_in_{n}")).alias("both"),
+        F.sum(F.greatest("_in_base", f"_in_{n}")).alias("either")) for n in scales]
+    groups = cells.select(*by).distinct() if by else cells.sparkSession.range(1).select()
+    found = sets.groupBy(*by).agg(F.array(*overlap).alias("_o"))
+    joined = groups.join(found, list(by), "left") if by else groups.join(F.broadcast(found),
+                                                                         how="left")
+    none = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(0).cast("long").alias("both"),
+                              F.lit(0).cast("long").alias("either")) for n in scales])
+    return joined.select(*by, F.inline(F.coalesce("_o", none))).select(
+        *by, "scenario", F.when(F.col("either") > 0, F.col("both") / F.col("either"))
+        .otherwise(1.0).alias("jaccard"))
 
 
 def selection_table(selection: DataFrame, cells: DataFrame, key: str = "cell") -> DataFrame:
@@ -435,3 +448,69 @@ def clustering_sensitivity(base: DataFrame, moved: DataFrame, cells: DataFrame,
         F.coalesce(F.sum(F.when(~F.col("_a") & ~F.col("_b"), 1).otherwise(0))
                    / F.nullif(F.sum(F.when(~F.col("_a") | ~F.col("_b"), 1).otherwise(0)),
                               F.lit(0)), F.lit(1.0)).alias("candidate_jaccard"))
+
+
+def compare_supply_conditions(cells: DataFrame, supply: DataFrame, conditions: Sequence[str],
+                              saturation: float, level: int, budgets: Sequence[int],
+                              road: DataFrame | None = None, k: int = 1,
+                              key: str = "cell") -> DataFrame:
+    """What placing the existing sites differently changes downstream, against the first condition.
+
+    ``supply(condition, cell, existing_ports)``; a cell without a row has no ports. One row for each
+    condition: candidates, candidate_jaccard, saturation_changes (cells), demand_delta and
+    equity_delta (covered at the middle budget) and, for each budget, ``overlap_<budget>``, the
+    Jaccard index of the portfolios. Conditions are groups of one greedy run at the largest budget,
+    of which the smaller portfolios are the first steps.
+    """
+    if not budgets:
+        raise ValueError("at least one budget is needed to compare portfolios")
+    base, middle = conditions[0], sorted(budgets)[len(budgets) // 2]
+    tagged = cells.drop("existing_ports").select("*", F.explode(F.array(*[
+        F.lit(c) for c in conditions])).alias("condition"))
+    applied = cut_lineage(tagged.join(
+        supply.select("condition", key, "existing_ports"), ["condition", key], "left")
+        .withColumn("existing_ports", F.coalesce("existing_ports", F.lit(0)))
+        .withColumn("_full", is_saturated("existing_ports", "demand", saturation)))
+    kept = cut_lineage(build_candidates(applied, saturation, road, key=[key])[0])
+    edges = cut_lineage(coverage_edges(kept, level, k, key, ["condition"]))
+    picks = cut_lineage(greedy_max_coverage(kept, edges, max(budgets), {"demand": 1.0},
+                                            ["condition"], key=key))
+
+    def jaccard_with_base(sets: DataFrame, tags: list[str], member: str) -> DataFrame:
+        """(condition, tags, jaccard, n) of (condition, tags, member)."""
+        own = sets.groupBy("condition", *tags).agg(F.count(F.lit(1)).alias("n"))
+        first = sets.where(F.col("condition") == base).drop("condition")
+        both = sets.join(first, [*tags, member]).groupBy("condition", *tags).agg(
+            F.count(F.lit(1)).alias("_both"))
+        total = first.groupBy(*tags).agg(F.count(F.lit(1)).alias("_first"))
+        met = own.join(both, ["condition", *tags], "left")
+        met = met.join(total, tags, "left") if tags else met.join(F.broadcast(total))
+        return met.select(
+            "condition", *tags, "n", (F.coalesce("_both", F.lit(0)) / (
+                F.col("n") + F.coalesce("_first", F.lit(0)) - F.coalesce("_both", F.lit(0))))
+            .alias("jaccard"))
+
+    sets = kept.select("condition", F.col(key).alias("member"))
+    candidates = jaccard_with_base(sets, [], "member").withColumnsRenamed(
+        {"n": "candidates", "jaccard": "candidate_jaccard"})
+    first = applied.where(F.col("condition") == base).select(key, F.col("_full").alias("_base"))
+    flips = applied.join(first, key).groupBy("condition").agg(
+        F.sum((F.col("_full") != F.col("_base")).cast("long")).alias("saturation_changes"))
+    steps = picks.select("condition", F.col("candidate").alias("member"), F.explode(F.filter(
+        F.array(*[F.lit(b) for b in budgets]), lambda b: b >= F.col("step"))).alias("budget"))
+    overlap = jaccard_with_base(steps, ["budget"], "member").groupBy("condition").agg(*[
+        F.max(F.when(F.col("budget") == b, F.col("jaccard"))).alias(f"overlap_{b}")
+        for b in budgets])
+    covered = edges.join(picks.where(F.col("step") <= middle).select("condition", "candidate"),
+                         ["condition", "candidate"], "left_semi").select(
+        "condition", F.col("covered").alias(key)).distinct()
+    reached = covered.join(kept.select("condition", key, "demand", "equity_population"),
+                           ["condition", key]).groupBy("condition").agg(
+        F.sum("demand").alias("_d"), F.sum("equity_population").alias("_e"))
+    shipped = reached.where(F.col("condition") == base).select(
+        F.col("_d").alias("_bd"), F.col("_e").alias("_be"))
+    return (flips.join(candidates, "condition", "left").join(overlap, "condition", "left")
+            .join(reached, "condition", "left").join(F.broadcast(shipped), how="left")
+            .select("condition", "candidates", "candidate_jaccard", "saturation_changes",
+                    *[f"overlap_{b}" for b in budgets], (F.col("_d") - F.col("_bd"))
+                    .alias("demand_delta"), (F.col("_e") - F.col("_be")).alias("equity_delta")))

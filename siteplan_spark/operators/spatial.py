@@ -15,11 +15,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteplan_spark.functions.geo import (
-    EARTH_RADIUS_M, haversine_m, haversine_sql, is_valid_coordinate, segment_distance_sql)
+    EARTH_RADIUS_M, cell_lat, cell_lon, haversine_m, haversine_sql, is_valid_coordinate,
+    segment_distance_sql)
 from siteplan_spark.operators.quantiles import group_quantile
 from siteplan_spark.session import cut_lineage
 
@@ -28,6 +29,9 @@ STEP = 2           # bits per level: four-way split of each axis
 LEAF_ROWS = 16     # stop refining once no right cell holds more places than this
 _SLACK = 1.0 + 1e-9
 
+# The published sweep of road distances.
+SENSITIVITY_KM = (1.0, 2.0, 3.0, 5.0, 8.0, 12.0, 20.0)
+
 
 # Expressions below are SQL text: the plans have many columns, and text is parsed on the
 # JVM in one call instead of one round trip per operator.
@@ -256,6 +260,9 @@ _DIAMETER_SPLITS = (8, 64, 512)  # parts per axis of a cluster's frame, per leve
 
 # --- clustering ---------------------------------------------------------------------------
 
+#: Parts per axis that a box is split into, and the parts of a cell at which splitting ends.
+REFINE, DEEPEST = 4, 4 ** 9
+
 def _fine(side: float, split: int) -> list[str]:
     return [f"CAST(floor(_{a} / {side / split!r}D) AS BIGINT) AS s{a}" for a in "xyz"]
 
@@ -266,6 +273,35 @@ def _sub_boxes(points: DataFrame, side: float, split: int) -> DataFrame:
         "node", "sx", "sy", "sz").agg(*_extent("_", "_"), F.expr("0.0D AS _r"))
 
 
+def road_proximity(cells: DataFrame, segments: DataFrame, segment_id: str, level: int,
+                   threshold_km: float = 5.0, key: str = "cell") -> DataFrame:
+    """(cell, distance_km, within_road): from each cell's centre to the nearest point of a segment.
+
+    Without any segment every distance is infinite and no cell is within: no road anywhere is the
+    strongest exclusion, not missing data.
+    """
+    centres = cells.select(key).distinct().withColumns(
+        {"lat": cell_lat(key, level), "lon": cell_lon(key, level)})
+    near = nearest_segment_join(centres, segments, segment_id)
+    km = F.coalesce(F.col("distance_m") / 1000.0, F.lit(float("inf")))
+    return near.select(key, km.alias("distance_km"), (km <= threshold_km).alias("within_road"))
+
+
+def road_sensitivity(proximity: DataFrame,
+                     thresholds_km: Sequence[float] = SENSITIVITY_KM) -> DataFrame:
+    """(threshold_km, cells): how many cells each threshold would keep.
+
+    A cell is counted at the first threshold that reaches it, and the counts are added up.
+    """
+    reach = F.array(*[F.lit(float(t)) for t in sorted(thresholds_km)])
+    first = F.get(F.filter(reach, lambda t: t >= F.col("distance_km")), F.lit(0))
+    hits = proximity.groupBy(first.alias("threshold_km")).agg(F.count(F.lit(1)).alias("_n"))
+    swept = proximity.sparkSession.createDataFrame(
+        [(float(t),) for t in thresholds_km], "threshold_km double")
+    return swept.join(hits, "threshold_km", "left").select("threshold_km", F.sum(
+        F.coalesce("_n", F.lit(0))).over(Window.orderBy("threshold_km")).alias("cells"))
+
+
 def _renamed(boxes: DataFrame, name: str) -> DataFrame:
     return boxes.selectExpr(f"node AS {name}", *[f"s{a} AS {name}s{a}" for a in "xyz"],
                             *[f"{c} AS {name}{c}" for c in [*_BOX, "_r"]])
@@ -277,8 +313,8 @@ def eps_links(df: DataFrame, id_col: str, lat: str, lon: str,
 
     Places closer than the cell diagonal are joined through their cell, so a crowded
     place gives one node instead of all its pairs. Two neighbouring cells are linked when
-    some pair across them is within eps; that is decided from boxes, refined twice, and
-    only what the boxes cannot decide is compared place by place.
+    some pair across them is within eps. That is decided from boxes: pairs of boxes that may or
+    may not hold a link are split again, until one of them surely does or none can.
     members: (id, node). links: (src, dst) between nodes.
     """
     eps = _chord(eps_m)
@@ -290,9 +326,10 @@ def eps_links(df: DataFrame, id_col: str, lat: str, lon: str,
         F.expr("min(id) AS node"), *_extent("_", "_"), F.expr("0.0D AS _r")))
     members = placed.select("id", *keys).join(cells.select(*keys, "node"), keys).select(
         "id", "node")
-    places = (placed.groupBy("_lat", "_lon", *keys)
-              .agg(*[F.expr(f"min(_{a}) AS _{a}") for a in "xyz"])
-              .join(cells.select(*keys, "node"), keys).drop(*keys))
+    # read at every level below
+    places = cut_lineage(placed.groupBy("_lat", "_lon", *keys)
+                         .agg(*[F.expr(f"min(_{a}) AS _{a}") for a in "xyz"])
+                         .join(cells.select(*keys, "node"), keys).drop(*keys))
     span = range(-2, 3)
     ahead = [(i, j, k) for i in span for j in span for k in span if (i, j, k) > (0, 0, 0)]
     a = _shifted(cells.selectExpr(*keys, "node AS a", *[f"{c} AS a{c}" for c in _BOX]), ahead)
@@ -302,26 +339,38 @@ def eps_links(df: DataFrame, id_col: str, lat: str, lon: str,
     pairs = cut_lineage(a.join(b, keys).selectExpr(
         "a", "b", f"{near} AS _near", f"{far} AS _far").where(reach))
     links = [pairs.where(f"_far <= {eps!r}D").select("a", "b")]
-    open_pairs = pairs.where(f"_far > {eps!r}D").select("a", "b")
-    for split in (4, 16):
-        boxes = _sub_boxes(places, side, split)
-        scored = cut_lineage(
-            open_pairs.join(_renamed(boxes, "a"), "a").join(_renamed(boxes, "b"), "b")
-            .selectExpr("a", "b", f"{near} AS _near", f"{far} AS _far").where(reach)
-            .groupBy("a", "b").agg(F.expr("min(_far) AS _far")))
-        links.append(scored.where(f"_far <= {eps!r}D").select("a", "b"))
-        open_pairs = scored.where(f"_far > {eps!r}D").select("a", "b")
-    # what is left: sub-cells that may touch are compared place by place
-    boxes = _sub_boxes(places, side, 16)
-    touching = (open_pairs.join(_renamed(boxes, "a"), "a").join(_renamed(boxes, "b"), "b")
-                .selectExpr("a", "asx", "asy", "asz", "b", "bsx", "bsy", "bsz",
-                            f"{near} AS _near").where(reach))
-
+    undecided = pairs.where(f"_far > {eps!r}D").select(
+        "a", "b", *[F.lit(0).cast("bigint").alias(f"{n}s{x}") for n in "ab" for x in "xyz"])
+    split = 1
+    while True:
+        # the halves of both cells that can still hold a link, four times as fine each time
+        deeper = split * REFINE
+        ends = undecided.select(F.col("a").alias("node")).union(
+            undecided.select("b")).distinct()
+        boxes = cut_lineage(_sub_boxes(places.join(ends, "node", "left_semi"), side, deeper))
+        up = {n: " AND ".join(f"{n}s{x} DIV {REFINE} = p{n}s{x}" if split > 1 else "true"
+                              for x in "xyz") for n in "ab"}
+        parents = undecided.selectExpr("a AS pa", "b AS pb", *[
+            f"{n}s{x} AS p{n}s{x}" for n in "ab" for x in "xyz"])
+        grown = parents.join(_renamed(boxes, "a"), F.expr(f"pa = a AND {up['a']}")).join(
+            _renamed(boxes, "b"), F.expr(f"pb = b AND {up['b']}"))
+        scored = cut_lineage(grown.selectExpr(
+            "a", "b", *[f"{n}s{x}" for n in "ab" for x in "xyz"], f"{near} AS _near",
+            f"{far} AS _far").where(reach))
+        found = scored.groupBy("a", "b").agg(F.min("_far").alias("_far")).where(
+            f"_far <= {eps!r}D").select("a", "b")
+        links.append(found)
+        undecided = cut_lineage(scored.drop("_near", "_far").join(found, ["a", "b"], "left_anti"))
+        split = deeper
+        if split >= DEEPEST or undecided.isEmpty():
+            break
+
+    # boxes this fine hold places that no distance tells apart
     def side_of(n: str) -> DataFrame:
-        return places.selectExpr("node", "_lat", "_lon", *_fine(side, 16)).selectExpr(
+        return places.selectExpr("node", "_lat", "_lon", *_fine(side, split)).selectExpr(
             f"node AS {n}", f"_lat AS {n}lat", f"_lon AS {n}lon",
             *[f"s{x} AS {n}s{x}" for x in "xyz"])
-    links.append(touching.join(side_of("a"), ["a", "asx", "asy", "asz"])
+    links.append(undecided.join(side_of("a"), ["a", "asx", "asy", "asz"])
                  .join(side_of("b"), ["b", "bsx", "bsy", "bsz"])
                  .where(f"{haversine_sql('alat', 'alon', 'blat', 'blon')} <= {eps_m!r}D")
                  .select("a", "b").distinct())

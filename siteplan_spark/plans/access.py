@@ -11,6 +11,8 @@ from siteplan_spark.operators import access as A
 from siteplan_spark.operators import ranking as W
 from siteplan_spark.operators import spatial as SP
 from siteplan_spark.plans.registry import query
+from siteplan_spark.sources.readers import decode_polylines
+from siteplan_spark.sources.sinks import encode_polylines
 from siteplan_spark.sources.tables import (
     HAVERSINE_KM_SQL, POINTS_SQL, SITES_SQL, population_points, read_table, sites)
 
@@ -217,6 +219,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
         "site_id", "segment", F.round(F.col("length_m") / 1000.0, 6).alias("km"))
 
 
+@query("wkb_polylines", f"""
+WITH {_POLY}
+SELECT site_id || '#0' AS feature, CAST(segment AS INTEGER) AS segment, round(lat1, 9) AS lat1, round(lon1, 9) AS lon1,
+  round(lat2, 9) AS lat2, round(lon2, 9) AS lon2 FROM seg WHERE site_id % 3 < 2""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    # written as binary geometries with a road class, read back without the local streets
+    lines = encode_polylines(polylines(spark, d), "site_id", "vertices")
+    k = F.col("feature").cast("bigint") % 3
+    roads = lines.withColumn("road", F.when(k == 0, "S1100").when(k == 1, "S1200")
+                             .otherwise("S1400"))
+    feats, _counts = decode_polylines(roads, "feature", "geometry", "road")
+    return publish_round(SP.polyline_segments(feats, "feature", "vertices").drop("length_m"),
+                         {c: 9 for c in ("lat1", "lon1", "lat2", "lon2")})
+
+
 _SEG_T = """least(1.0e0, greatest(0.0e0, ((p.lon - g.lon1) * cos(radians(p.lat)) * (g.lon2 - g.lon1) * cos(radians(p.lat))
   + (p.lat - g.lat1) * (g.lat2 - g.lat1)) / (pow((g.lon2 - g.lon1) * cos(radians(p.lat)), 2) + pow(g.lat2 - g.lat1, 2))))"""
 _SEG_NEAR = f"""{POINTS_SQL}, {_POLY},
@@ -252,6 +269,32 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return A.sensitivity_curve(road_distances(spark, d), "km", "weight", 20.0, 120.0, 20.0)
 
 
+_ROAD_CELLS = _SEG_NEAR.replace("f AS (SELECT", f"""oc AS (SELECT DISTINCT {cell_sql('lat', 'lon')} AS cell FROM points),
+cp AS (SELECT cell AS point_id, 1 AS weight, ((cell >> 28 & 268435455) + 0.5e0) / 256 * 360 - 180 AS lon,
+  degrees(asin(((cell & 268435455) + 0.5e0) / 256 * 2 - 1)) AS lat FROM oc),
+f AS (SELECT""", 1).replace("FROM points p CROSS JOIN seg g", "FROM cp p CROSS JOIN seg g")
+
+
+def cell_roads(spark: SparkSession, d: str) -> DataFrame:
+    segs = SP.polyline_segments(polylines(spark, d), "site_id", "vertices").withColumn(
+        "segment_id", F.col("site_id") * 10 + F.col("segment"))
+    cells = G.with_cell(population_points(spark, d), "lat", "lon", LEVEL)
+    return SP.road_proximity(cells, segs, "segment_id", LEVEL, 40.0)
+
+
+@query("road_proximity", f"""
+WITH {_ROAD_CELLS} SELECT point_id AS cell, round(km, 6) AS distance_km, km <= 40.0e0 AS within_road FROM n""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return publish_round(cell_roads(spark, d), {"distance_km": 6})
+
+
+@query("road_sensitivity", f"""
+WITH {_ROAD_CELLS}, t(threshold_km) AS (VALUES (10.0e0), (20.0e0), (40.0e0), (80.0e0), (160.0e0), (320.0e0))
+SELECT threshold_km, CAST(sum(CASE WHEN km <= threshold_km THEN 1 ELSE 0 END) AS BIGINT) AS cells FROM n, t GROUP BY 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return SP.road_sensitivity(cell_roads(spark, d), (10.0, 20.0, 40.0, 80.0, 160.0, 320.0))
+
+
 @query("compare_distance_methods", f"""
 WITH {_SEG_NEAR}
 SELECT round(avg(vkm - km), 6) AS mean_error, round(median(vkm - km), 6) AS median_error,
@@ -293,6 +336,35 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return clusters(spark, d).select("id", "cluster")
 
 
+def diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    members = clusters(spark, d).select(F.col("id").alias("point_id"), "cluster").join(
+        population_points(spark, d), "point_id")
+    return SP.cluster_diagnostics(members, "cluster", "lat", "lon", "segment")
+
+
+@query("diameter_bands", f"""
+WITH RECURSIVE {_CLUSTERS},
+m AS (SELECT cluster, points.* FROM lab JOIN points ON point_id = id),
+di AS (SELECT p.cluster, count(DISTINCT p.point_id) AS size, max({HAVERSINE_KM_SQL}) * 1000 AS m FROM m p JOIN m s ON s.cluster = p.cluster GROUP BY 1)
+SELECT CAST(count(*) AS BIGINT) AS clusters, CAST(sum(CASE WHEN size = 1 THEN 1 ELSE 0 END) AS BIGINT) AS singletons, CAST(max(size) AS BIGINT) AS max_size,
+  CAST(sum(CASE WHEN size > 1 AND m > 5000 THEN 1 ELSE 0 END) AS BIGINT) AS wider_than_5000, CAST(sum(CASE WHEN size > 1 AND m > 20000 THEN 1 ELSE 0 END) AS BIGINT) AS wider_than_20000,
+  CAST(sum(CASE WHEN size > 1 AND m > 10000 THEN 1 ELSE 0 END) AS BIGINT) AS suspicious FROM di""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return SP.diameter_bands(diagnostics(spark, d), (5_000.0, 20_000.0), 10_000.0)
+
+
+@query("suspicious_clusters", f"""
+WITH RECURSIVE {_CLUSTERS},
+m AS (SELECT cluster, points.* FROM lab JOIN points ON point_id = id),
+di AS (SELECT p.cluster, count(DISTINCT p.point_id) AS size, max({HAVERSINE_KM_SQL}) AS km FROM m p JOIN m s ON s.cluster = p.cluster GROUP BY 1)
+SELECT cluster, CAST(size AS BIGINT) AS size, round(km * 1000, 3) AS diameter_m FROM di WHERE size > 1 AND km > 10
+ORDER BY round(km * 1000, 3) DESC, cluster LIMIT 25""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rounded = diagnostics(spark, d).withColumn("diameter_m", F.round("diameter_m", 3))
+    return SP.suspicious_clusters(rounded, "cluster", 25, 10_000.0).select(
+        "cluster", "size", "diameter_m")
+
+
 @query("cluster_centroids", f"""
 WITH RECURSIVE {_CLUSTERS}
 SELECT cluster, CAST(count(*) AS BIGINT) AS cluster_size, round(avg(lat), 6) AS lat,
@@ -309,12 +381,9 @@ m AS (SELECT cluster, points.* FROM lab JOIN points ON point_id = id),
 sz AS (SELECT cluster, count(*) AS size, count(DISTINCT segment) AS networks FROM m GROUP BY 1),
 di AS (SELECT p.cluster, max({HAVERSINE_KM_SQL}) AS km FROM m p JOIN m s ON s.cluster = p.cluster GROUP BY 1)
 SELECT cluster, CAST(size AS BIGINT) AS size, CAST(networks AS BIGINT) AS networks,
-       round(km * 1000, 3) AS diameter_m FROM sz JOIN di USING (cluster) WHERE size > 1""")
+       round(km * 1000, 3) AS diameter_m FROM sz JOIN di USING (cluster)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    members = clusters(spark, d).select(F.col("id").alias("point_id"), "cluster").join(
-        population_points(spark, d), "point_id")
-    return SP.cluster_diagnostics(members, "cluster", "lat", "lon", "segment").where(
-        "size > 1").withColumn("diameter_m", F.round("diameter_m", 3))
+    return diagnostics(spark, d).withColumn("diameter_m", F.round("diameter_m", 3))
 
 
 # --- grid -----------------------------------------------------------------------------------

@@ -165,15 +165,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("gain_curve", """
-WITH r AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part WHERE p_size > 5),
+WITH r AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part),
 t AS (SELECT l_partkey AS id, count(*) AS items, sum(l_quantity) AS qty FROM lineitem GROUP BY 1),
 k AS (SELECT i / 10.0e0 AS decile, CAST(round_even(i / 10.0e0 * (SELECT count(*) FROM r), 0) AS BIGINT) AS cells FROM range(1, 11) x(i))
 SELECT decile, cells, round(sum(CASE WHEN rn <= cells THEN items ELSE 0 END) / CAST((SELECT sum(items) FROM t) AS DOUBLE), 6) AS items_captured,
   round(sum(CASE WHEN rn <= cells THEN qty ELSE 0 END) / CAST((SELECT sum(qty) FROM t) AS DOUBLE), 6) AS qty_captured
 FROM k, r LEFT JOIN t USING (id) GROUP BY 1, 2""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    p = read_table(spark, d, "part", "p_partkey", "p_retailprice", "p_size").where(
-        "p_size > 5").select(F.col("p_partkey").alias("id"), "p_retailprice")
+    p = read_table(spark, d, "part", "p_partkey", "p_retailprice").select(
+        F.col("p_partkey").alias("id"), "p_retailprice")
     t = read_table(spark, d, "lineitem", "l_partkey", "l_quantity").groupBy(
         F.col("l_partkey").alias("id")).agg(F.count(F.lit(1)).alias("items"),
                                             F.sum("l_quantity").alias("qty"))

@@ -69,7 +69,7 @@ def greedy_sql(steps: int, value: str = "demand", extra: str = "", edge: str = "
     parts = [f"{_CELLS}{extra}", "cov0 AS (SELECT region, cell AS covered FROM cand LIMIT 0)"]
     for i in range(1, steps + 1):
         parts.append(f"""pick{i} AS (SELECT region, arg_min(candidate, (-g, candidate)) AS candidate, max(g) AS gain FROM (
-  SELECT e.region, e.candidate, CAST(sum(CAST({value} AS DECIMAL(38,18))) AS DOUBLE) AS g FROM {edge} e
+  SELECT e.region, e.candidate, CAST(sum(CAST({value} AS DECIMAL(38,12))) AS DOUBLE) AS g FROM {edge} e
   WHERE NOT EXISTS (SELECT 1 FROM cov{i - 1} c WHERE c.region = e.region AND c.covered = e.covered)
   GROUP BY 1, 2) GROUP BY 1)""")
         parts.append(f"""cov{i} AS (SELECT * FROM cov{i - 1} UNION SELECT e.region, e.covered FROM {edge} e
@@ -244,25 +244,29 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ST.with_gaps(sweep, c, e, 4, "demand", "equity_population", ["region"])
 
 
-def _scaled_pick(scale: str) -> str:
-    return (f"SELECT candidate FROM (WITH {greedy_sql(4, f'demand * {scale}')} "
-            "SELECT * FROM sel) WHERE region = 1")
-
-
-_OVERLAP = """SELECT CASE WHEN count(*) = 0 THEN 1.0e0 ELSE round(CAST(sum(CASE WHEN x.candidate IS NOT NULL
-  AND b.candidate IS NOT NULL THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) END AS jaccard
-  FROM b FULL JOIN {side} x ON x.candidate = b.candidate"""
+_SCALED = f""",
+vs(s, f) AS (VALUES (0, 1.0e0), (1, 0.95e0), (2, 1.05e0)),
+kept AS (SELECT region * 10 + s AS region, cell, demand * f AS d FROM cells, vs WHERE population >= 1 AND within_road
+  AND NOT (demand * f > 0 AND existing_ports * 1000.0e0 / (demand * f) >= {SATURATION}e0)),
+near AS (SELECT a.region, a.cell AS candidate, b.cell AS covered, b.d FROM kept a JOIN kept b ON b.region = a.region
+   AND abs(((a.cell >> 28) & 268435455) - ((b.cell >> 28) & 268435455)) <= 1
+   AND abs((a.cell & 268435455) - (b.cell & 268435455)) <= 1)"""
 
 
 @query("perturbation_overlap", f"""
-WITH b AS ({_scaled_pick('1.0e0')}), low AS ({_scaled_pick('0.95e0')}), high AS ({_scaled_pick('1.05e0')})
-SELECT 'low' AS scenario, jaccard FROM ({_OVERLAP.format(side='low')})
-UNION ALL SELECT 'high', jaccard FROM ({_OVERLAP.format(side='high')})""")
+WITH {greedy_sql(4, 'd', _SCALED, 'near')},
+ps AS (SELECT region // 10 AS region, region % 10 AS s, candidate FROM sel),
+pr AS (SELECT DISTINCT region, b.s FROM cells, (VALUES (1), (2)) b(s)),
+u AS (SELECT pr.region, pr.s, candidate, max(CASE WHEN ps.s = 0 THEN 1 ELSE 0 END) AS b, max(CASE WHEN ps.s = pr.s THEN 1 ELSE 0 END) AS x
+  FROM pr LEFT JOIN ps ON ps.region = pr.region AND ps.s IN (0, pr.s) GROUP BY ALL)
+SELECT CAST(region AS INTEGER) AS region, CASE s WHEN 1 THEN 'low' ELSE 'high' END AS scenario,
+  round(CASE WHEN count(candidate) > 0 THEN sum(b * x) / CAST(count(candidate) AS DOUBLE) ELSE 1 END, 6) AS jaccard FROM u GROUP BY ALL""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    c = candidates(spark, d).where("region = 1")
-    e = ST.coverage_edges(c, LEVEL, 1)
-    return publish_round(ST.perturbation_overlap(c, e, 4, "demand", 1000.0, 50.0),
-                         {"jaccard": 6})
+    total, half = 1000.0, 50.0  # a published total and the half-width of its rounding
+    moved = {"low": (total - half) / total, "high": (total + half) / total}
+    found = ST.perturbation_overlap(cells(spark, d), moved, 4, SATURATION, LEVEL, roads(spark, d),
+                                    ["region"])
+    return publish_round(found, {"jaccard": 6})
 
 
 @query("clustering_sensitivity", f"""
@@ -293,6 +297,61 @@ def _(spark: SparkSession, d: str) -> DataFrame:
                          {"candidate_jaccard": 6})
 
 
+_SUPPLY = f""",
+
+e2 AS (SELECT p.site_id AS a, s.site_id AS b FROM sites p JOIN sites s ON p.site_id <> s.site_id
+   AND 2.0e0 * 6371.0088e0 * asin(sqrt(pow(sin(radians(s.lat - p.lat) / 2.0e0), 2) + cos(radians(p.lat)) * cos(radians(s.lat))
+   * pow(sin(radians(s.lon - p.lon) / 2.0e0), 2))) <= 90.5e0),
+reach(a, b) AS (SELECT site_id, site_id FROM sites UNION SELECT reach.a, e2.b FROM reach JOIN e2 ON e2.a = reach.b),
+lab AS (SELECT a AS site_id, min(b) AS cluster FROM reach GROUP BY 1),
+cen AS (SELECT cluster, avg(lat) AS lat, avg(lon) AS lon FROM lab JOIN sites USING (site_id) GROUP BY 1),
+mv AS (SELECT {cell_sql('cen.lat', 'cen.lon', LEVEL)} AS cell, count(*) AS ports FROM lab JOIN cen USING (cluster) GROUP BY 1),
+al AS (SELECT cell, sum(demand) AS demand, sum(population) AS population, sum(equity_population) AS equity FROM pc GROUP BY 1),
+ap AS (SELECT al.*, 0 AS s, coalesce(ports, 0) AS ports FROM al LEFT JOIN sc ON sc.cell = al.cell
+  UNION ALL SELECT al.*, 1, coalesce(ports, 0) FROM al LEFT JOIN mv ON mv.cell = al.cell),
+sa AS (SELECT *, coalesce(demand > 0 AND ports * 1000.0e0 / demand >= {SATURATION}e0, false) AS full_ FROM ap),
+kp AS (SELECT * FROM sa WHERE population >= 1 AND ({_COL} + {_ROW}) % 6 <> 0 AND NOT full_),
+near AS (SELECT a.s AS region, a.cell AS candidate, b.cell AS covered, b.demand AS d, b.equity FROM kp a JOIN kp b ON b.s = a.s
+   AND abs(((a.cell >> 28) & 268435455) - ((b.cell >> 28) & 268435455)) <= 1
+   AND abs((a.cell & 268435455) - (b.cell & 268435455)) <= 1)"""
+
+
+@query("supply_conditions", f"""
+WITH RECURSIVE {greedy_sql(6, 'd', _SUPPLY, 'near')},
+ns AS (SELECT a.s, count(*) AS n, sum(CASE WHEN b.cell IS NOT NULL THEN 1 ELSE 0 END) AS both_, (SELECT count(*) FROM kp WHERE s = 0) AS n0
+  FROM kp a LEFT JOIN kp b ON b.cell = a.cell AND b.s = 0 GROUP BY 1),
+fl AS (SELECT a.s, sum(CASE WHEN a.full_ <> b.full_ THEN 1 ELSE 0 END) AS changes FROM sa a JOIN sa b ON b.cell = a.cell AND b.s = 0 GROUP BY 1),
+st AS (SELECT region AS s, candidate, q FROM sel, (VALUES (2), (4), (6)) v(q) WHERE step <= q),
+ov AS (SELECT a.s, a.q, count(*) AS n, sum(CASE WHEN b.s = 0 THEN 1 ELSE 0 END) AS both_, (SELECT count(*) FROM st z WHERE z.s = 0 AND z.q = a.q) AS n0
+  FROM st a LEFT JOIN st b ON b.s = 0 AND b.q = a.q AND b.candidate = a.candidate GROUP BY 1, 2),
+ob AS (SELECT region AS s, sum(d) AS d, sum(equity) AS e FROM (SELECT DISTINCT n.region, n.covered, d, equity FROM near n JOIN st ON st.s = n.region AND st.q = 4 AND st.candidate = n.candidate) GROUP BY 1)
+SELECT CASE fl.s WHEN 0 THEN 'own_place' ELSE 'cluster_centroid' END AS condition, CAST(n AS BIGINT) AS candidates, round(both_ / CAST(n + n0 - both_ AS DOUBLE), 6) AS candidate_jaccard,
+  CAST(changes AS BIGINT) AS saturation_changes,
+  (SELECT round(max(both_ / CAST(n + n0 - both_ AS DOUBLE)), 6) FROM ov WHERE ov.s = fl.s AND q = 2) AS overlap_2,
+  (SELECT round(max(both_ / CAST(n + n0 - both_ AS DOUBLE)), 6) FROM ov WHERE ov.s = fl.s AND q = 4) AS overlap_4,
+  (SELECT round(max(both_ / CAST(n + n0 - both_ AS DOUBLE)), 6) FROM ov WHERE ov.s = fl.s AND q = 6) AS overlap_6,
+  CAST(d - (SELECT d FROM ob WHERE s = 0) AS BIGINT) AS demand_delta, CAST(e - (SELECT e FROM ob WHERE s = 0) AS BIGINT) AS equity_delta
+FROM fl JOIN ns ON ns.s = fl.s JOIN ob ON ob.s = fl.s""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = sites(spark, d)
+    base = G.with_cell(s, "lat", "lon", LEVEL).select(F.lit("own_place").alias("condition"), "cell")
+    moved = SP.cluster_points(s, "site_id", eps_m=90_500.0).select(
+        F.lit("cluster_centroid").alias("condition"),
+        G.cell_of("cluster_lat", "cluster_lon", LEVEL).alias("cell"))
+    supply = base.unionByName(moved).groupBy("condition", "cell").agg(
+        F.count(F.lit(1)).alias("existing_ports"))
+    p = G.with_cell(population_points(spark, d), "lat", "lon", LEVEL)
+    whole = p.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("demand"),
+        F.sum(F.when(F.col("point_id") % 4 == 0, 0).otherwise(F.col("weight"))).alias("population"),
+        F.sum(F.col("point_id") % 5).alias("equity_population"))
+    near = whole.select("cell", ((G.cell_column("cell") + G.cell_row("cell")) % 6 != 0)
+                        .alias("within_road"))
+    found = ST.compare_supply_conditions(whole, supply, ["own_place", "cluster_centroid"],
+                                         SATURATION, LEVEL, [2, 4, 6], near)
+    return publish_round(found, {c: 6 for c in found.columns if "jaccard" in c or "overlap" in c})
+
+
 @query("blended_ranking", f"""
 WITH {_CELLS} SELECT region, cell, round(demand * 0.6e0 + equity_population * 0.4e0, 4) AS score FROM cand""")
 def _(spark: SparkSession, d: str) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siteplan_spark.sources.wkb import decode_batches
+
 
 def read_delimited(spark: SparkSession, path: str, header: Sequence[str], delimiter: str = ",",
                    encoding: str = "UTF-8", quote: str = '"',
@@ -204,43 +204,24 @@ def assert_not_empty(df: DataFrame, what: str) -> DataFrame:
 PRIMARY_SECONDARY = ("S1100", "S1200")
 
 
-def _decode_wkb(raw: bytes) -> list[np.ndarray]:
-    """LineString or MultiLineString to vertex arrays (x, y); parts stay apart."""
-    order = "<" if raw[0] == 1 else ">"
-    kind = int(np.frombuffer(raw, f"{order}u4", 1, 1)[0]) % 1000
-    count = int(np.frombuffer(raw, f"{order}u4", 1, 5)[0])
-    if kind == 2:
-        return [np.frombuffer(raw, f"{order}f8", 2 * count, 9).reshape(count, 2)]
-    if kind != 5:
-        raise ValueError(f"geometry type {kind} is not a line")
-    lines, at = [], 9
-    for _ in range(count):
-        part = _decode_wkb(raw[at:])
-        lines += part
-        at += 9 + 16 * len(part[0])
-    return lines
-
-
 def decode_polylines(df: DataFrame, feature: str, geometry: str, road_class: str,
                      keep: Sequence[str] = PRIMARY_SECONDARY) -> tuple[DataFrame, DataFrame]:
     """(features, class counts) from a binary geometry column.
 
-    The class filter runs before decoding; excluded classes are counted. Each part of a
-    multi-line becomes its own feature ``id#part``.
+    The class filter runs before decoding; excluded classes are counted, and kept rows without a
+    geometry as the class ``missing_geometry``. Each part of a multi-line becomes its own feature
+    ``id#part``. A batch is decoded as a whole, its vertices are never Python objects.
     """
-    counts = df.groupBy(road_class).agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "is_kept", F.col(road_class).isin(*keep))
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(f"{f}#{i}", [{"lat": float(y), "lon": float(x)} for x, y in line])
-                    for f, g in zip(pdf[feature], pdf[geometry], strict=True)
-                    for i, line in enumerate(_decode_wkb(bytes(g)))]
-            yield pd.DataFrame(rows, columns=["feature", "vertices"])
-    kept = df.where(F.col(road_class).isin(*keep)).select(
-        F.col(feature).cast("string").alias(feature), geometry)
-    return kept.mapInPandas(
-        decode, "feature string, vertices array<struct<lat: double, lon: double>>"), counts
+    wanted = F.col(road_class).isin(*keep)
+    kind = F.when(wanted & F.col(geometry).isNull(), "missing_geometry").otherwise(
+        F.col(road_class))
+    counts = df.groupBy(kind.alias(road_class)).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "is_kept", wanted)
+
+    kept = df.where(wanted & F.col(geometry).isNotNull()).select(
+        F.col(feature).cast("string").alias("feature"), geometry)
+    return kept.mapInArrow(
+        decode_batches, "feature string, vertices array<struct<lat: double, lon: double>>"), counts
 
 
 # --- parameters -----------------------------------------------------------------------------

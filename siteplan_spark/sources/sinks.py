@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteplan_spark.operators.quality import table_fingerprint
+from siteplan_spark.sources.wkb import encode_batches
 
 # Fixed value: rows per Parquet row group in published tables.
 ROW_GROUP_ROWS = 8_192
@@ -71,6 +72,13 @@ def write_geojson(df: DataFrame, path: str, lat: str, lon: str,
         "overwrite").text(path)
 
 
+def encode_polylines(df: DataFrame, feature: str, vertices: str) -> DataFrame:
+    """(feature, geometry): array<struct<lat, lon>> as WKB LineStrings; a null line is dropped."""
+    lines = df.where(F.col(vertices).isNotNull()).select(
+        F.col(feature).cast("string").alias("feature"), vertices)
+    return lines.mapInArrow(encode_batches, "feature string, geometry binary")
+
+
 def feature_collection(df: DataFrame, lat: str, lon: str, properties: Sequence[str],
                        limit: int = 10_000) -> DataFrame:
     """One FeatureCollection document from a selection of at most ``limit`` rows."""

@@ -146,3 +146,20 @@ def test_grid_parent_contains_child_and_ring_wraps(spark):
     assert all(by[i]["p"] == by[i]["q"] for i in (1, 2, 3)) and by[4]["c"] is None
     assert by[1]["ring"] == 6 and by[2]["ring"] == 9
     assert df.where("id = 4").select(G.haversine_m("lat", "lon", "lat", "lon")).first()[0] is None
+
+
+@pytest.mark.parametrize("gap_m,linked", [(49.0, True), (51.0, False)])
+def test_two_crowded_cells_are_decided_without_comparing_their_places(spark, gap_m, linked):
+    # 25,000 places in each of two clumps whose nearest places are gap_m apart
+    step = 1.0 / 111_195.0  # a metre of latitude
+    clump = spark.range(50_000).select(
+        "id", (F.col("id") % 2).alias("k"), F.floor(F.col("id") / 2).alias("i"))
+    r, t = F.sqrt(F.col("i") / 25_000.0) * 10.0, F.col("i") * 2.399963
+    north = F.col("k") * (gap_m + 20.0)
+    pts = clump.select("id", (40.0 + (r * F.cos(t) + north) * step).alias("lat"),
+                       (10.0 + r * F.sin(t) * step / 0.766).alias("lon"))
+    edge = spark.createDataFrame([(50_000, 40.0 + 10.0 * step, 10.0),
+                                  (50_001, 40.0 + (10.0 + gap_m) * step, 10.0)],
+                                 "id long, lat double, lon double")
+    got = SP.cluster_points(pts.unionByName(edge), "id", eps_m=50.0)
+    assert got.select("cluster").distinct().count() == (1 if linked else 2)
