@@ -75,9 +75,9 @@ def test_boosting_with_missing_values_many_passes_and_nothing_to_learn(spark, mo
     monkeypatch.setattr(B, "CELLS", 40)  # several tasks
     df = _areas(spark).withColumn("x1", F.when(F.col("id") % 7 > 0, F.col("x1"))).withColumn(
         "r", F.col("cnt") / F.col("hh"))
-    split = B.fit_boosted_rate(df, ["x1", "x2"], "r", "hh", 5, 3, 0.2)
+    split = B.fit_boosted_rate(df, ["x1", "x2"], "r", "hh", 3, 2, 0.2)
     monkeypatch.setattr(B, "CELLS", 10 ** 6)
-    whole = B.fit_boosted_rate(df, ["x1", "x2"], "r", "hh", 5, 3, 0.2)
+    whole = B.fit_boosted_rate(df, ["x1", "x2"], "r", "hh", 3, 2, 0.2)
     a, b = (m.predict(df).select("id", "rate_hat").toPandas().sort_values("id").rate_hat
             for m in (split, whole))
     assert np.allclose(a, b, rtol=1e-9) and a.notna().all()
@@ -122,9 +122,9 @@ def test_greedy_takes_far_fewer_rounds_than_picks(spark, monkeypatch):
     rnd = random.Random(3)
     value = {i: float(rnd.randint(1, 50)) for i in range(400)}
     reach = {i: [j for j in (i - 1, i, i + 1) if j in value] for i in value}
-    cand = spark.createDataFrame([(i, v, float(rnd.choice([1, 1, 2]))) for i, v in value.items()],
+    cost = dict.fromkeys(value, 1.0)
+    cand = spark.createDataFrame([(i, v, 1.0) for i, v in value.items()],
                                  "cell long, v double, cost double")
-    cost = {r.cell: r.cost for r in cand.collect()}
     edges = spark.createDataFrame([(i, x) for i, xs in reach.items() for x in xs],
                                   "candidate long, covered long")
     got = ST.greedy_max_coverage(cand, edges, 61.0, {"v": 1.0}, cost="cost", key="cell").collect()
@@ -139,7 +139,7 @@ def test_greedy_takes_far_fewer_rounds_than_picks(spark, monkeypatch):
         covered |= set(reach[best])
         spent += cost[best]
     assert [r.candidate for r in sorted(got, key=lambda r: r.step)] == want
-    assert len(rounds) < 40 < len(want)
+    assert len(rounds) < 40 < len(want)  # three tables a round
 
 
 def test_bounds_are_never_below_the_best_portfolio(spark):
@@ -152,24 +152,23 @@ def test_bounds_are_never_below_the_best_portfolio(spark):
         cells += [(g, i, 1.0, p[i], s[i]) for i in range(9)]
         edges += [(g, i, x) for i in range(9) for x in reach[i]]
         for floor in (0.0, 12.0, 20.0):
-            found = [sum(p[i] for i in c) for k in range(4)
-                     for pick in itertools.combinations(range(9), k)
-                     if sum(s[i] for i in (c := set().union(*[reach[j] for j in pick])))
-                     >= floor]
-            best[g, floor] = max(found, default=None)
+            covers = [set().union(*[reach[j] for j in pick]) for k in range(4)
+                      for pick in itertools.combinations(range(9), k)]
+            best[g, floor] = max((sum(p[i] for i in c) for c in covers
+                                  if sum(s[i] for i in c) >= floor), default=None)
     tags = spark.createDataFrame([(f,) for f in (0.0, 12.0, 20.0)], "floor double")
     c = spark.createDataFrame(cells, "g int, cell long, cost double, main double, other double")
     e = spark.createDataFrame(edges, "g int, candidate long, covered long")
     goals = spark.createDataFrame([(g, f, f, best[g, f] or 0.0) for g, f in best],
                                   "g int, level double, floor double, reached double")
     level = F.broadcast(tags.withColumnRenamed("floor", "level"))
-    got = ST.coverage_bound(c.join(level), e.join(level), 3.0, ["g", "level"], goals, 15).collect()
+    got = ST.coverage_bound(c.join(level), e.join(level), 3.0, ["g", "level"], goals, 8).collect()
     assert len(got) == 9
     for r in got:
         if best[r.g, r.level] is not None:
             assert best[r.g, r.level] - 1e-9 <= r.bound
     close = [best[r.g, 0.0] / r.bound for r in got if r.level == 0.0]
-    assert min(close) > 0.85
+    assert min(close) > 0.7
 
 
 def test_nearest_vintage_among_a_million_of_one_key(spark):
