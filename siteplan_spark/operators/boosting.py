@@ -195,7 +195,7 @@ def _best_split(hist: np.ndarray) -> tuple[float, int, int, np.ndarray] | None:
 
     gain = np.where(ok, strength(below) + strength(above) - strength(total), -np.inf)
     best = gain.max()
-    if best <= 1e-12 * max(1.0, float(strength(total)[0, 0])):
+    if best <= 1e-20 * max(1.0, float(strength(total)[0, 0])):
         return None
     f, b = divmod(int(np.flatnonzero(gain >= best - 1e-9 * abs(best))[0]), gain.shape[1])
     return float(best), f, b, below[:, f, b]

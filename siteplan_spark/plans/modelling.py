@@ -162,11 +162,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 WITH RECURSIVE {_AREAS}, side AS (SELECT g % 2 AS b, sum(cnt) AS c, sum(hh) AS e FROM areas GROUP BY 1),
 boost(b, i, f) AS (SELECT b, 0, (SELECT ln(sum(c) / sum(e)) FROM side) FROM side
   UNION ALL SELECT boost.b, i + 1, f + 0.06e0 * (c / (e * exp(f)) - 1) FROM boost JOIN side ON side.b = boost.b WHERE i < 200)
-SELECT id, round(exp(f) * hh, 5) AS predicted FROM areas JOIN boost ON b = g % 2 AND i = 200""")
+SELECT id, round(exp(f) * hh, 4) AS predicted FROM areas JOIN boost ON b = g % 2 AND i = 200""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     a = areas(spark, d).withColumn("odd", (F.col("g") % 2).cast("double"))
     return D.fit_counts(D.boosted_rate(), a, ["odd"], "cnt", "hh")(a).select(
-        "id", F.round("predicted", 5).alias("predicted"))
+        "id", F.round("predicted", 4).alias("predicted"))
 
 
 _ST_RIDGE = _RIDGE.replace("SELECT g AS held", "SELECT st AS held")
