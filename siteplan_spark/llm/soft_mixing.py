@@ -256,11 +256,18 @@ def soft_mixing(docs: DataFrame, id_col: str, text_col: str, weights: np.ndarray
 
 def take_mixture(docs: DataFrame, id_col: str, text_col: str, weights: np.ndarray,
                  shares: Mapping[str, float], growth: float | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as its rate says; a rate below one may drop it."""
+    """The rows of ``docs``, each as often as its rate says; a rate below one may drop it.
+
+    Null and empty texts have no tokens and get the rate of their posterior. Rows that repeat an
+    id and text are taken equally often. All columns pass through, whatever they are called. No
+    rows in, none out.
+    """
     member = posterior(F.col(text_col), weights)
     members = cut_lineage(docs.select(member.alias("m")).select("m.tokens", "m.p"))
     fit = fit_rates(members, shares, growth)
     copies = copies_of(rate_of(member["p"], *fit), F.col(id_col), F.xxhash64(F.col(text_col)))
-    taken = where_once(docs.withColumn("_copies", copies), F.col("_copies") > 0)
-    return taken.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))
-                            ).drop("_copies")
+    # the whole row travels as one column, so no name of it can clash
+    taken = where_once(docs.select(F.struct("*").alias("row"), copies.alias("copies")),
+                       F.col("copies") > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
+                        ).select("row.*")

@@ -29,3 +29,13 @@ def test_nothing_is_banned_without_labels(spark):
     weights = np.zeros((soft_mixing.BUCKETS + 1, len(soft_mixing.DOMAINS)))
     got = soft_mixing.soft_mixing(docs, "doc_id", "text", weights, {"clean": 1.0}).collect()
     assert all(r.rate > 0 for r in got)
+
+
+def test_columns_with_working_names_survive_the_mixture(spark):
+    docs = documents(spark, ["one two", None, "", "one two"]).selectExpr(
+        "doc_id", "text", "1 AS _copies", "2 AS _fence", "3 AS row", "4 AS copies", "5 AS col")
+    equal = {d: 1 / 3 for d in soft_mixing.DOMAINS}
+    weights = np.zeros((soft_mixing.BUCKETS + 1, len(soft_mixing.DOMAINS)))
+    taken = soft_mixing.take_mixture(docs, "doc_id", "text", weights, equal)
+    assert taken.columns == docs.columns
+    assert sorted(map(str, taken.collect())) == sorted(map(str, docs.collect()))
