@@ -159,7 +159,8 @@ def focus_and_context(cells: DataFrame, value: str, id_col: str, k: int,
     """The top k by a measure within a scope, and focus/context rolled up separately.
 
     Returns (summary, rolled): the cut-off value and population share, then one row per
-    (side, parent). A parent may appear on both sides.
+    (side, parent). A parent may appear on both sides. Without cells the summary counts zero focus
+    cells; cut-off and share are null.
     """
     top = cells.orderBy(F.desc(value), id_col).limit(k).select(id_col)
     tagged = cells.join(F.broadcast(top.withColumn("_f", F.lit(True))), id_col, "left") \
@@ -167,7 +168,7 @@ def focus_and_context(cells: DataFrame, value: str, id_col: str, k: int,
     focus = F.col("side") == "focus"
     summary = tagged.agg(
         F.min(F.when(focus, F.col(value))).alias("cutoff"),
-        F.sum(F.when(focus, 1).otherwise(0)).alias("focus_cells"),
+        F.count(F.when(focus, 1)).alias("focus_cells"),  # none, not null, of no cells
         (F.sum(F.when(focus, F.col("population")).otherwise(0))
          / F.nullif(F.sum("population"), F.lit(0))).alias("population_share"))
     rolled = tagged.groupBy("side", parent.alias("parent")).agg(
