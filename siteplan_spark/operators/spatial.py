@@ -242,17 +242,33 @@ def distance_band_join(left: DataFrame, right: DataFrame, eps_m: float, lat: str
     """Rows of two tables within ``eps_m`` of each other (the pairs are the result).
 
     Buckets are cubes one band wide, so a right row is offered to its 27 neighbours and
-    meets left rows by equality. The two sides must not share column names.
+    meets left rows by equality. Chords of unit vectors decide all pairs but those at the very
+    edge of the band, so a pair that is not in the result costs no trigonometry and one that is
+    costs one distance. The two sides must not share column names.
     """
-    side = _chord(eps_m) * (1.0 + 1e-9)
-    lp = _buckets(left, lat, lon, side).drop("_x", "_y", "_z")
+    chord = _chord(eps_m)
+    outer, inner = chord * (1.0 + 1e-9) + 1e-14, chord * (1.0 - 1e-9) - 1e-14
+    lp = _buckets(left, lat, lon, outer).withColumn("_c", F.cos(F.radians(lat)))
     rp = _buckets(right.withColumnsRenamed({lat: "_rlat", lon: "_rlon"}), "_rlat", "_rlon",
-                  side).drop("_x", "_y", "_z")
+                  outer).withColumn("_c", F.cos(F.radians("_rlat"))).withColumnsRenamed(
+        {c: f"_r{c}" for c in ("_x", "_y", "_z", "_c")})
     span = range(-1, 2)
     spread = _shifted(rp, [(i, j, k) for i in span for j in span for k in span])
-    return (lp.join(spread, ["_ix", "_iy", "_iz"]).drop("_ix", "_iy", "_iz")
-            .withColumn(out, haversine_m(lat, lon, "_rlat", "_rlon"))
-            .where(F.col(out) <= eps_m).drop("_rlat", "_rlon"))
+    keys = ["_ix", "_iy", "_iz"]
+    spread = spread.withColumnsRenamed({c: f"_r{c}" for c in keys})
+    square = " + ".join(f"(_{a} - _r_{a}) * (_{a} - _r_{a})" for a in "xyz")
+    half = " * ".join([f"sin(radians(_rlon - `{lon}`) / 2.0D)"] * 2)
+    term = (f"sin(radians(_rlat - `{lat}`) / 2.0D) * sin(radians(_rlat - `{lat}`) / 2.0D) "
+            f"+ _c * _r_c * {half}")
+    metres = f"{2.0 * EARTH_RADIUS_M!r}D * asin(sqrt(least(1.0D, {term})))"
+    met = " AND ".join(f"{c} = _r{c}" for c in keys)
+    sure = inner * inner if inner > 0 else -1.0
+    # both sides may be small files whose pairs are many: a broadcast would leave them to one task
+    pairs = lp.join(spread.hint("merge"), F.expr(
+        f"{met} AND {square} <= {outer * outer!r}D "
+        f"AND ({square} <= {sure!r}D OR {metres} <= {float(eps_m)!r}D)"))
+    names = [*left.columns, *[c for c in right.columns if c not in (lat, lon)]]
+    return pairs.selectExpr(*[f"`{c}`" for c in names], f"{metres} AS `{out}`")
 
 
 _DIAMETER_SPLITS = (8, 64, 512)  # parts per axis of a cluster's frame, per level

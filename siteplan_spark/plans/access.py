@@ -176,8 +176,10 @@ SELECT point_id, site_id, round(km, 6) AS km FROM pairs WHERE km <= 120.5e0""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = population_points(spark, d).select("point_id", "lat", "lon")
     s = sites(spark, d).select("site_id", "lat", "lon")
-    return SP.distance_band_join(p, s, 120_500.0).select(
-        "point_id", "site_id", F.round(F.col("distance_m") / 1000.0, 6).alias("km"))
+    near = SP.distance_band_join(p, s, 120_500.0)
+    # half up like round(), without a decimal number for each pair
+    return near.selectExpr("point_id", "site_id", "distance_m / 1000.0D * 1e6D AS v").selectExpr(
+        "point_id", "site_id", "(rint(v) + IF(v - rint(v) = 0.5D, 1.0D, 0.0D)) / 1e6D AS km")
 
 
 @query("haversine_pairs", f"""
