@@ -27,6 +27,8 @@ from siteplan_spark.session import cut_lineage
 BITS = 20          # finest level: 2**20 cells per axis, about 12 m
 STEP = 2           # bits per level: four-way split of each axis
 LEAF_ROWS = 16     # stop refining once no right cell holds more places than this
+PIECES = 8         # pieces of a segment of average length in the index
+PIECE_SLACK = 1.05  # how far beyond the best bound pieces are kept before the result is certified
 _SLACK = 1.0 + 1e-9
 
 # The published sweep of road distances.
@@ -111,9 +113,12 @@ def _bounds() -> tuple[str, str]:
     return f"sqrt({near}) - b_r", f"sqrt({far}) + b_r"
 
 
-def _candidate_pairs(left: DataFrame, right: DataFrame, bits: int,
-                     radius: str) -> DataFrame:
-    """(a, b): for every left leaf cell, the right leaf cells that can hold its nearest."""
+def _candidate_pairs(left: DataFrame, right: DataFrame, bits: int, radius: str,
+                     slack: float = _SLACK) -> DataFrame:
+    """(a, b, _limit): for every left leaf cell, the right leaf cells that can hold its nearest.
+
+    All right cells that come as near as the chord ``_limit`` are among them.
+    """
     ls = _pyramid(_leaf_boxes(left, bits, "0.0D"), bits)
     rs = _pyramid(_leaf_boxes(right, bits, radius), bits)
     near, far = _bounds()
@@ -127,8 +132,11 @@ def _candidate_pairs(left: DataFrame, right: DataFrame, bits: int,
         pairs = (grown.selectExpr("a", "b", f"{near} AS _near", f"{far} AS _far")
                  .selectExpr("a AS pa", "b AS pb", "_near",
                              "min(_far) OVER (PARTITION BY a) AS _best")
-                 .where(f"_near <= _best * {_SLACK!r}D + 1e-12D").select("pa", "pb"))
-    return pairs.selectExpr("pa AS a", "pb AS b")
+                 .selectExpr("pa", "pb", "_near", f"_best * {slack!r}D + 1e-12D AS _limit")
+                 .where("_near <= _limit").select("pa", "pb", "_limit"))
+        limited = pairs
+        pairs = pairs.drop("_limit")
+    return limited.selectExpr("pa AS a", "pb AS b", "_limit")
 
 
 def _leaf_bits(right: DataFrame) -> int:
@@ -143,20 +151,37 @@ def _leaf_bits(right: DataFrame) -> int:
 
 
 def _attach(left: DataFrame, right: DataFrame, lat: str, lon: str, payload: Sequence[str],
-            distance: str, out: str, id_out: str, radius: str) -> DataFrame:
+            distance: str, out: str, id_out: str, radius: str,
+            slack: float = _SLACK, limit: Sequence[str] = ()) -> DataFrame:
     bits = _leaf_bits(right)
     placed = _with_axes(left, lat, lon).selectExpr("*", f"{_valid(lat, lon)} AS _ok")
-    pairs = _candidate_pairs(placed.where("_ok"), right, bits, radius)
+    pairs = _candidate_pairs(placed.where("_ok"), right, bits, radius, slack)
     fields = ", ".join(payload)
     candidates = (pairs.join(right.selectExpr(f"{_cell(bits)} AS b", *payload), "b")
-                  .groupBy("a").agg(F.expr(f"collect_list(struct({fields})) AS _c")))
+                  .groupBy("a").agg(F.expr(f"collect_set(struct({fields})) AS _c"),
+                                    F.max("_limit").alias("_limit")))
     joined = placed.selectExpr("*", f"CASE WHEN _ok THEN {_cell(bits)} END AS a").join(
         candidates, "a", "left")
     best = f"array_min(transform(_c, s -> struct({distance} AS d, s._id AS id))) AS _best"
-    return joined.selectExpr(*[f"`{c}`" for c in left.columns], "_ok", best).selectExpr(
+    return joined.selectExpr(*[f"`{c}`" for c in left.columns], "_ok", "_limit", best).selectExpr(
         *[f"`{c}`" for c in left.columns],
         f"CASE WHEN _best IS NOT NULL THEN _best.d WHEN _ok THEN double('Infinity') END AS {out}",
-        f"_best.id AS {id_out}")
+        f"_best.id AS {id_out}", *limit)
+
+
+def _of_places(points: DataFrame, lat: str, lon: str) -> DataFrame:
+    """(_plat, _plon): the distinct usable places, so rows at one place are searched for once."""
+    return cut_lineage(points.where(_valid(lat, lon)).select(
+        F.col(lat).alias("_plat"), F.col(lon).alias("_plon")).distinct())
+
+
+def _to_rows(points: DataFrame, found: DataFrame, lat: str, lon: str, out: str,
+             id_out: str) -> DataFrame:
+    """What was found for (_plat, _plon), at all rows of those places; nulls elsewhere."""
+    met = points.join(found, (points[lat] == found["_plat"]) & (points[lon] == found["_plon"]),
+                      "left")
+    return met.select(*[points[c] for c in points.columns], found["_d"].alias(out),
+                      found["_i"].alias(id_out))
 
 
 def nearest_join(left: DataFrame, right: DataFrame, right_id: str, lat: str = "lat",
@@ -171,8 +196,9 @@ def nearest_join(left: DataFrame, right: DataFrame, right_id: str, lat: str = "l
               .groupBy(F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
               .agg(F.min(right_id).alias("_id")))
     indexed = _with_axes(places, "_lat", "_lon")
-    return _attach(left, indexed, lat, lon, ["_id", "_lat", "_lon"],
-                   haversine_sql(lat, lon, "s._lat", "s._lon"), out, id_out, "0.0D")
+    found = _attach(_of_places(left, lat, lon), indexed, "_plat", "_plon", ["_id", "_lat", "_lon"],
+                    haversine_sql("_plat", "_plon", "s._lat", "s._lon"), "_d", "_i", "0.0D")
+    return _to_rows(left, found, lat, lon, out, id_out)
 
 
 def polyline_segments(df: DataFrame, feature: str, vertices: str) -> DataFrame:
@@ -197,20 +223,41 @@ def nearest_segment_join(points: DataFrame, segments: DataFrame, segment_id: str
                          id_out: str = "nearest_segment") -> DataFrame:
     """Distance to the nearest point *on* a segment, exact for segments of any length.
 
-    A segment is indexed by its midpoint and the radius that covers it; the radius
-    widens both bounds, so pruning never loses the true nearest.
+    Segments are indexed in pieces, each by its midpoint and the radius that covers it, so that a
+    long segment is a candidate only near its course. A bound from pieces is one on the true
+    distance, which the foot in the tangent plane may miss by a little. Pieces a little beyond
+    the best bound are kept too, and a result within what was kept is certain. Places whose result
+    is not are searched again with whole segments, whose radius widens both bounds: that loses
+    nothing at any length. Rows at one place are searched for once.
     """
-    mid = segments.selectExpr(
-        f"{segment_id} AS _id", "lat1", "lon1", "lat2", "lon2",
-        "(lat1 + lat2) / 2.0D AS _mlat", "(lon1 + lon2) / 2.0D AS _mlon",
-        "radians(lat2 - lat1) AS _dlat",
+    ends = ["_id", "lat1", "lon1", "lat2", "lon2"]
+    whole = segments.selectExpr(
+        f"{segment_id} AS _id", *ends[1:], "radians(lat2 - lat1) AS _dlat",
         "radians(lon2 - lon1) * CASE WHEN lat1 * lat2 <= 0 THEN 1.0D "
-        "ELSE greatest(cos(radians(lat1)), cos(radians(lat2))) END AS _dlon")
-    indexed = _with_axes(mid.selectExpr(
-        "*", f"sqrt(_dlat * _dlat + _dlon * _dlon) * 0.5D * {_SLACK!r}D AS _rad"),
-        "_mlat", "_mlon")
-    return _attach(points, indexed, lat, lon, ["_id", "lat1", "lon1", "lat2", "lon2"],
-                   segment_distance_sql(lat, lon, "s"), out, id_out, "_rad")
+        "ELSE greatest(cos(radians(lat1)), cos(radians(lat2))) END AS _dlon").selectExpr(
+        *ends, f"sqrt(_dlat * _dlat + _dlon * _dlon) * 0.5D * {_SLACK!r}D AS _rad")
+    whole = cut_lineage(whole.where("_rad < double('Infinity')"))
+    mean = whole.agg(F.avg("_rad")).first()[0] or 0.0
+    n = f"greatest(1, ceil(_rad / {mean / PIECES!r}D))" if mean > 0 else "1L"
+    pieces = cut_lineage(whole.selectExpr("*", f"CAST({n} AS INT) AS _n").selectExpr(
+        "*", "explode(sequence(0, _n - 1)) AS _k").selectExpr(
+        *ends, "_rad / _n AS _rad", "lat1 + (_k + 0.5D) / _n * (lat2 - lat1) AS _mlat",
+        "lon1 + (_k + 0.5D) / _n * (lon2 - lon1) AS _mlon").repartition("_mlat", "_mlon"))
+    metres = segment_distance_sql("_plat", "_plon", "s")
+    places = _of_places(points, lat, lon)
+    near = cut_lineage(_attach(
+        places, _with_axes(pieces, "_mlat", "_mlon"), "_plat", "_plon", ends, metres, "_d", "_i",
+        "_rad", PIECE_SLACK, ["_limit"]))
+    sure = F.coalesce(2.0 * F.sin(F.col("_d") / (2.0 * EARTH_RADIUS_M)) * _SLACK
+                      <= F.col("_limit"), F.lit(False))
+    found, rest = near.where(sure).drop("_limit"), near.where(~sure)
+    if not rest.isEmpty():
+        middle = whole.selectExpr("*", "(lat1 + lat2) / 2.0D AS _mlat",
+                                  "(lon1 + lon2) / 2.0D AS _mlon")
+        found = found.unionByName(_attach(
+            rest.select("_plat", "_plon"), _with_axes(middle, "_mlat", "_mlon"), "_plat", "_plon",
+            ends, metres, "_d", "_i", "_rad"))
+    return _to_rows(points, found, lat, lon, out, id_out)
 
 
 def _chord(metres: float) -> float:
