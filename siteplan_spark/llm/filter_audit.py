@@ -87,23 +87,20 @@ def audit_filters(universe: DataFrame, failing: Mapping[str, DataFrame],
     stored = [cut_lineage(failing[n].select(*keys).distinct()) for n in names]
     universe = cut_lineage(universe.select(*keys, "part", "n", "good", "toxic"))
     some = reduce(DataFrame.unionByName, stored).distinct()
-    level = cut_lineage(universe.join(some, keys, "left_semi").withColumn("left_by", F.lit(0)))
-    levels = [level]
-    for _ in names:
-        # a set is reached from itself without its last filter only
-        level = cut_lineage(reduce(DataFrame.unionByName, [
-            level.where(F.col("left_by") < 1 << f).join(stored[f], keys, "left_anti")
-            .withColumn("left_by", F.col("left_by").bitwiseOR(1 << f))
-            for f in range(len(names))]))
-        levels.append(level)
-    left = reduce(DataFrame.unionByName, levels)
-    kept = left.groupBy("part", "left_by").agg(F.sum("n").alias("left"))
-    taken = cut_lineage(reduce(DataFrame.unionByName, [
+    # each set follows from the one without its last filter, so one anti join serves all sets that
+    # end in a filter; a stored union keeps the optimizer from joining its parts one by one
+    left = cut_lineage(universe.join(some, keys, "left_semi").withColumn("left_by", F.lit(0)))
+    for f in range(len(names)):
+        left = cut_lineage(left.unionByName(
+            left.join(stored[f], keys, "left_anti")
+            .withColumn("left_by", F.col("left_by").bitwiseOR(1 << f))))
+    kept = cut_lineage(left.groupBy("part", "left_by").agg(F.sum("n").alias("left")))
+    taken = reduce(DataFrame.unionByName, [cut_lineage(
         left.where(F.col("left_by").bitwiseAND(1 << f) == 0).join(stored[f], keys, "left_semi")
         .groupBy("part", "left_by", F.lit(1 << f).alias("filter"))
         .agg(F.sum("n").alias("removed"), F.sum(F.col("n") * F.col("good")).alias("good_lost"),
-             F.sum(F.col("n") * F.col("toxic")).alias("toxic_lost"))
-        for f in range(len(names))]))
+             F.sum(F.col("n") * F.col("toxic")).alias("toxic_lost")))
+        for f in range(len(names))])
     # the orders in which a filter follows exactly this set
     before = F.bit_count("left_by")
     orders = F.element_at(F.array(*[F.lit(factorial(k) * factorial(len(names) - 1 - k))
