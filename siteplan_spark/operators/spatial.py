@@ -443,36 +443,38 @@ def eps_links(df: DataFrame, id_col: str, lat: str, lon: str,
     return members, out.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame,
+                         rows: int | None = None) -> DataFrame:
     """(id, component) where component is the smallest id reachable from id.
 
     Each round every node moves to its neighbour with the smallest hashed priority and
     the edges are rewritten and deduplicated, so the graph shrinks geometrically
     whatever order the ids are in. A hub is handled by map-side minima. The edges and
-    moves of each round are written to the checkpoint folder.
+    moves of each round are written to the checkpoint folder. ``rows`` is how many nodes and
+    edges there are at most, where that is known.
     """
     live = cut_lineage(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-                       .where("u <> v").distinct())
+                       .where("u <> v").distinct(), rows)
     moves: list[DataFrame] = []
-    while not live.isEmpty():  # every round merges at least one pair
+    while left := live.count():  # every round merges at least one pair
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the smallest priority among the neighbours and the node itself
         move = (both.groupBy("u").agg(F.expr("min(struct(xxhash64(v) AS h, v AS v)) AS m"))
                 .selectExpr("u", "least(m, struct(xxhash64(u) AS h, u AS v)).v AS to"))
-        move = cut_lineage(move)
+        move = cut_lineage(move, 2 * left)
         moves.append(move)
         m1 = move.select(F.col("u"), F.col("to").alias("nu"))
         m2 = move.select(F.col("u").alias("v"), F.col("to").alias("nv"))
         live = cut_lineage(
             live.join(m1, "u").join(m2, "v")
             .select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v"))
-            .where("u <> v").distinct())
+            .where("u <> v").distinct(), left)
     # each round's moves are fewer than the last, so the labels follow them in one chain
     label = nodes.select("id", F.col("id").alias("component"))
     for move in moves:
         label = label.join(move.withColumnRenamed("u", "component"), "component", "left").select(
             "id", F.coalesce("to", "component").alias("component"))
-    label = cut_lineage(label)
+    label = cut_lineage(label, rows)
     smallest = label.groupBy("component").agg(F.min("id").alias("_min"))
     return label.join(smallest, "component").select("id", F.col("_min").alias("component"))
 

@@ -46,15 +46,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+#: Rows that one file of a narrow table may have.
+FILE_ROWS = 50_000
+
+
+def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write the rows as a table in the shared checkpoint folder and read it back.
 
     It survives executor loss and computes the input once. A plain ``checkpoint()`` would
     also carry the constraints inferred so far into the next plan, which grow round by
     round in iterative jobs; a table starts clean and can be read column by column.
+
+    Where ``rows`` is given, the table has about so many narrow rows at most and is written in as
+    few files as they fill. Rounds over a few rows would else write and read a file for each
+    shuffle partition, and each file costs the executor a task and two child processes.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     df.write.option("compression", "lz4").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
