@@ -11,7 +11,7 @@ fingerprints, however large the corpus.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -72,10 +72,10 @@ def _linked(x: np.ndarray) -> np.ndarray:
     return (tally >= MIN_BYTES) & (np.bitwise_count(x) <= MAX_BITS)
 
 
-def _stacked(prints: np.ndarray) -> np.ndarray:
+def _stacked(prints: np.ndarray, linked: Callable = _linked) -> np.ndarray:
     """Smallest linked place in each row of an (m, g) stack of lists."""
     m, g = prints.shape
-    link = _linked(prints[:, :, None] ^ prints[:, None, :])
+    link = linked(prints[:, :, None] ^ prints[:, None, :])
     label = np.broadcast_to(np.arange(g, dtype=np.int32), (m, g))
     while True:
         new = np.where(link, label[:, None, :], g).min(axis=2).astype(np.int32)
@@ -84,12 +84,12 @@ def _stacked(prints: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _blocked(prints: np.ndarray) -> np.ndarray:
+def _blocked(prints: np.ndarray, linked: Callable = _linked) -> np.ndarray:
     label = np.arange(len(prints))
     while True:
         new = label.copy()
         for i in range(0, len(prints), 512):
-            link = _linked(prints[i:i + 512, None] ^ prints[None, :])
+            link = linked(prints[i:i + 512, None] ^ prints[None, :])
             new[i:i + 512] = np.where(link, new[None, :], len(prints)).min(axis=1)
         new = new[new]
         if np.array_equal(new, label):
