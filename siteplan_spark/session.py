@@ -59,7 +59,7 @@ def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
 
     Where ``rows`` is given, the table has about so many narrow rows at most and is written in as
     few files as they fill. Rounds over a few rows would else write and read a file for each
-    shuffle partition, and each file costs the executor a task and two child processes.
+    shuffle partition.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
