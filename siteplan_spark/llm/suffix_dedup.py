@@ -497,11 +497,10 @@ def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
             .mapInArrow(_cut(parts), _SCHEMA))
     split = spots.where(F.col("kind") == _HOT).select(F.col("key").alias("b"),
                                                       F.col("a").alias("salts"))
-    if split.isEmpty():
-        dealt = runs.withColumn("salts", F.lit(1).cast("long"))
-    else:
-        dealt = runs.join(split, "b", "left").withColumn(
-            "salts", F.coalesce("salts", F.lit(1).cast("long")))
+    # at most one row for each ``hot`` places; a join that is planned by keys would write all runs
+    # twice, once for the join and once for the shards
+    dealt = runs.join(F.broadcast(split), "b", "left").withColumn(
+        "salts", F.coalesce("salts", F.lit(1).cast("long")))
     salt = F.pmod(F.xxhash64("data"), F.col("salts"))
     shards = (dealt.select("kind", "key", "a", "b", "data", "salts", salt.alias("salt"))
               .repartition(parts, "b", "salt").sortWithinPartitions("b", "salt")
